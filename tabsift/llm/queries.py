@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, pii, secrets, sentencepiece_bpe, spans
+from . import jaccard_join, language, pii, secrets, sentencepiece_bpe, spans
 from .common import table
 
 #: Vocabulary files are a parameter of the operators; these are their production values.
@@ -18,6 +18,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), PIECES))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), percent=85, width=4)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(secrets.scan(table(spark, sf_dir, "documents")), secrets.KINDS)
 
@@ -30,5 +34,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op5_secrets, op7_language, op8_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_jaccard_join, op5_secrets, op7_language, op8_pii)}
 SQL: dict[str, str] = {}
