@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language, pii, secrets, sentencepiece_bpe, spans
+from . import jaccard_join, language, pii, secrets, sentencepiece_bpe, spans, tiff, token_store
 from .common import table
 
 #: Vocabulary files are a parameter of the operators; these are their production values.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +35,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(pii.scan(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_jaccard_join, op5_secrets, op7_language, op8_pii)}
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), BYTES)
+
+
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.store_documents(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_jaccard_join, op5_secrets, op7_language, op8_pii, op9_token_store, op10_tiff)}
 SQL: dict[str, str] = {}
