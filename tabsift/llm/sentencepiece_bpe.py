@@ -19,6 +19,7 @@ import functools
 import heapq
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from .common import bounded_batches, gather_runs, pieces
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-#: Words whose ids a worker keeps between batches, and the longest word that is kept.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48
+HASH = 0x9E3779B97F4A7C15
+#: Words whose ids a worker keeps between batches, and the longest word after which it starts anew.
+KEPT_WORDS, KEPT_LENGTH = 600_000, 1 << 16
 #: Symbols over which a word that allows one merge a round only is left to the agenda.
 AGENDA = 64
 
@@ -111,11 +113,8 @@ class BpeModel:
                     for part in (a, b):
                         if part in rank_of and len(self.names[part]) > 1 and rank_of[i] <= rank_of[part]:
                             unsafe[part] = True
-        keys = np.array(sorted(merges), np.int64)
-        self.keys = np.append(keys, np.iinfo(np.int64).max)
-        self.merged = np.array([merges[k][0] for k in keys.tolist()] + [0], np.int32)
-        self.rank = np.array([merges[k][1] for k in keys.tolist()] + [NONE], np.int32)
         self.merges, self.unsafe = merges, unsafe
+        self._table(merges)
         # No piece goes on behind a character that ends a word here.
         inner = {(a, b) for p in pieces_of for a, b in zip(p, p[1:], strict=False)}
         apart = "".join(c for c in "\n\t\r" if not any(c in x for x in inner))
@@ -124,6 +123,20 @@ class BpeModel:
         else:
             self.words = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]" if apart else "")).findall
 
+    def _table(self, merges: dict[int, tuple[int, int]]) -> None:
+        """An open hash table of the pairs, at most a quarter full; a lookup goes on to the next slot."""
+        bits = max(8, (4 * len(merges)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full((1 << bits) + 1, -1, np.int64)
+        self.value = np.zeros((2, (1 << bits) + 1), np.int32)
+        self.value[0] = NONE
+        for key, (to, rank) in merges.items():
+            slot = ((key * HASH) & (2**64 - 1)) >> int(self.shift)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % (1 << bits)
+            self.keys[slot] = key
+            self.value[:, slot] = rank, to
+
     def _surfaces(self, kinds: np.ndarray, unk_surface: bytes) -> None:
         out = []
         for i, name in enumerate(self.names):
@@ -148,9 +161,15 @@ class BpeModel:
 
     def _rank_pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) * self.size + right
-        at = np.searchsorted(self.keys, key)
-        hit = self.keys[at] == key
-        return np.where(hit, self.rank[at], NONE), np.where(hit, self.merged[at], 0)
+        slot = ((key.astype(np.uint64) * np.uint64(HASH)) >> self.shift).astype(np.int64)
+        have = self.keys[slot]
+        on = np.flatnonzero((have != key) & (have >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) % (len(self.keys) - 1)
+            have = self.keys[slot[on]]
+            on = on[(have != key[on]) & (have >= 0)]
+        slot[self.keys[slot] != key] = len(self.keys) - 1
+        return self.value[0, slot], self.value[1, slot]
 
     def _agenda(self, symbols: list[int]) -> list[int]:
         """Merge one pair at a time, best rank first and leftmost among equals."""
@@ -185,10 +204,12 @@ class BpeModel:
         sym, word = self.char[points], np.repeat(np.arange(len(words)), lengths)
         pos = np.arange(len(sym))  # where the symbol's first character is
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank, to = np.zeros(len(sym), np.int32), np.zeros(len(sym), np.int32)
+        fresh = np.arange(len(sym))  # symbols whose pair with the next one has no rank yet
         while len(sym):
-            same = np.append(word[1:] == word[:-1], False)
-            rank, to = self._rank_pairs(sym, np.append(sym[1:], self.other))
-            rank[~same] = NONE
+            after = np.minimum(fresh + 1, len(sym) - 1)
+            rank[fresh], to[fresh] = self._rank_pairs(sym[fresh], sym[after])
+            rank[fresh[(word[after] != word[fresh]) | (after == fresh)]] = NONE
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             size = np.diff(np.append(first, len(sym)))
             least = np.repeat(np.minimum.reduceat(rank, first), size)
@@ -223,7 +244,12 @@ class BpeModel:
                         open_ &= ~alone[word]
                 sym[at] = to[at]
                 open_[at + 1] = False
-            sym, word, pos = sym[open_], word[open_], pos[open_]
+            changed = np.zeros(len(sym), bool)
+            changed[at] = True
+            changed = changed[open_]
+            changed[:-1] |= changed[1:]
+            fresh = np.flatnonzero(changed)
+            sym, word, pos, rank, to = sym[open_], word[open_], pos[open_], rank[open_], to[open_]
         if not done:
             return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         sym, word, pos = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -256,10 +282,10 @@ class BpeModel:
         """Ids of all texts in one array, and the offsets of the texts in it."""
         lead = SPACE if self.prefix else ""
         words = [self.words(lead + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {w for x in words for w in x} - self.known.keys()
+        fresh = set(chain.from_iterable(words)).difference(self.known)
         if fresh:
             self._learn(list(fresh))
-        index = np.fromiter((self.known[w] for x in words for w in x), np.int64)
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
         per_word = self.length[index]
         ids = self.flat[gather_runs(self.start[index], per_word)]
         n_words = np.fromiter(map(len, words), np.int64, len(words))
@@ -268,9 +294,8 @@ class BpeModel:
         if eos:
             ids = np.insert(ids, ends, self.eos)
             off = off + np.arange(len(off))
-        if len(self.known) > KEPT_WORDS or any(len(w) > KEPT_LENGTH for w in fresh):
-            if len(self.known) > KEPT_WORDS or self.used > 4 * KEPT_WORDS or sum(len(w) for w in fresh if len(w) > KEPT_LENGTH) > 1 << 16:
-                self._forget()
+        if len(self.known) > KEPT_WORDS or len(self.flat) > 16 * KEPT_WORDS or len(max(fresh, key=len, default="")) > KEPT_LENGTH:
+            self._forget()
         return ids, off
 
     # decoding
