@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language, pii, secrets, sentencepiece_bpe, spans, tiff, token_store
+from . import embedding_dedup, jaccard_join, language, pii, secrets, sentencepiece_bpe, spans, tiff, token_store
 from .common import table
 
 #: Vocabulary files are a parameter of the operators; these are their production values.
@@ -27,6 +27,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(secrets.scan(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.store_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_jaccard_join, op5_secrets, op7_language, op8_pii, op9_token_store, op10_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_jaccard_join, op5_secrets, op6_embedding_dedup, op7_language, op8_pii, op9_token_store, op10_tiff)}
 SQL: dict[str, str] = {}
