@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -108,6 +110,24 @@ def flat_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def trim() -> None:
+    """Give free memory back to the system: a worker that waits for its next task should be small."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def squeeze(ascending: np.ndarray) -> bytes:
+    """Ascending uint64 values as the byte planes of their differences, whose high planes compress to nothing."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0]+1, ... of `lengths[0]` items, then those of the next run."""
     ends = np.cumsum(lengths)

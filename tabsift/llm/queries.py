@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard_join, language, pii, secrets, sentencepiece_bpe, spans, tiff, token_store
+from . import embedding_dedup, jaccard_join, language, mixing, pii, pseudo_likelihood, secrets, sentencepiece_bpe, spans, tiff, token_store
 from .common import table
 
 #: Vocabulary files are a parameter of the operators; these are their production values.
@@ -19,6 +19,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), PIECES))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), percent=85, width=4)
 
@@ -47,5 +55,5 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.store_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_jaccard_join, op5_secrets, op6_embedding_dedup, op7_language, op8_pii, op9_token_store, op10_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_pseudo_likelihood, op4_jaccard_join, op5_secrets, op6_embedding_dedup, op7_language, op8_pii, op9_token_store, op10_tiff)}
 SQL: dict[str, str] = {}
