@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -81,6 +82,12 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df.scratch)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_parts(df: DataFrame, least: int = 32, most: int = 20_000) -> int:
     """A number of hash buckets that follows the input: that of its scan tasks, within limits."""
     return max(least, min(most, df.rdd.getNumPartitions()))

@@ -232,13 +232,22 @@ def _rated(rates: Rates, k: int):
     return run
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
-    """(doc_id, n_tokens, posterior, rate) of every row of docs, and the domains' names."""
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> tuple[Classifier, Rates]:
+    """The classifier, and the rates as a function of posteriors."""
+    return _fitted(docs, labels, targets, sample)[:2]
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int) -> tuple[Classifier, Rates, DataFrame]:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = learn(docs, labels, sample)
     scored = materialize(docs.mapInArrow(_scored(model), "doc_id long, n_tokens long, posterior array<double>"), "posteriors")
-    rates = fit_rates(scored, model.names, targets)
+    return model, fit_rates(scored, model.names, targets), scored
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+    """(doc_id, n_tokens, posterior, rate) of every row of docs, and the domains' names."""
+    model, rates, scored = _fitted(docs, labels, targets, sample)
     return scored.mapInArrow(_rated(rates, len(model.names)), "doc_id long, n_tokens long, posterior array<double>, rate double"), model.names
 
 
