@@ -8,6 +8,7 @@ that adaptive execution may split, so a vertex with very many links is no bottle
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,22 @@ def components(links: DataFrame) -> DataFrame:
         if mark == last:
             break
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Pairs that hold together what all pairs (i, j) of n vertices do."""
+    parent = list(range(n))
+
+    def top(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((a, b))
+    return out

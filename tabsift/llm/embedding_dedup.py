@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_rows, bounded_batches, gather_runs, input_parts, materialize
-from .components import components
+from .components import components, forest
 
 PROJECTIONS, BLOCK, RECALL, SEED = 48, 1024, 0.999, 20240612
 #: Standard deviations of the first projection's difference beyond which blocks do not meet.
@@ -80,25 +80,6 @@ def linked(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> tuple[np.
     return i[keep], j[keep]
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that hold together what all pairs (i, j) of n vertices do."""
-    parent = list(range(n))
-
-    def top(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((a, b))
-    return out
-
-
 BLOCKS = "label int, dim int, block long, low double, high double, ids binary, counts binary, vectors binary"
 
 

@@ -16,7 +16,10 @@ Two documents link if the Jaccard similarity of their sets of word shingles reac
 5. Then all other pairs: groups that share a prefix shingle but are not in one component pass the
    size and position filters, expand into members and are verified. Pairs inside a component
    need no verification, so the copies in a group never expand into all pairs and no link between
-   components is lost.
+   components is lost. Where very many pairs of groups share a shingle, the families that such
+   shingles hold together are packed into blocks in the order of their components, and pairs of
+   blocks that are not of one component are verified as matrix products that return a spanning
+   forest of their links.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing; a row without
 doc_id links with nothing and has no component. Rows repeated in full are members of one class.
@@ -33,12 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, input_parts, materialize, pieces
-from .components import components
+from .common import batch_rows, bounded_batches, input_parts, materialize, pieces, squeeze, trim, unsqueeze
+from .components import components, forest
 from .shingles import shingles, signatures
 
 #: Shingles and documents that a scan task packs together at most (but for a single longer text).
-FLUSH, FLUSH_ROWS = 1_500_000, 60_000
+FLUSH, FLUSH_ROWS = 400_000, 60_000
+#: Bytes of text that are hashed at once.
+TEXT = 1 << 18
+#: Entries of a hash range that are sorted at once.
+AT_ONCE = 250_000
+#: Pairs across components at one prefix shingle, over which its groups are compared in blocks; classes
+#: and shingles of a block, and the columns of its matrix that are compared at once.
+CROSSING, BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 256, 400_000, 4096
 #: flush: task and number of a pack; part: hash range; kind: 0 shared inside the pack, 1 single, 2 the pack's own table
 PACK = "part int, flush long, kind int, hashes binary, counts binary, docs binary, sig binary"
 
@@ -46,10 +56,11 @@ PACK = "part int, flush long, kind int, hashes binary, counts binary, docs binar
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", TEXT):
                 sets, off = shingles(part.column("text"), width)
                 a, b = signatures(sets, off)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": np.diff(off), "s1": a, "s2": b})
+        trim()
 
     return run
 
@@ -67,7 +78,7 @@ def _packs(width: int, parts: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = rows = 0
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", TEXT):
                 sets, off = shingles(part.column("text"), width)
                 a, b = signatures(sets, off)
                 held.append((sets, np.diff(off), a, b))
@@ -77,6 +88,7 @@ def _packs(width: int, parts: int):
                     held, size, rows, number = [], 0, 0, number + 1
         if size:
             yield _pack(held, (task << 32) + number, parts)
+        trim()
 
     return run
 
@@ -101,46 +113,65 @@ def _pack(held: list, flush: int, parts: int) -> pa.RecordBatch:
     for p, (lo, hi) in enumerate(zip(np.append(0, cuts).tolist(), np.append(cuts, len(value)).tolist(), strict=True)):
         v, c, o, f = value[lo:hi], count[lo:hi], one[lo:hi], first[lo:hi]
         if not o.all():
-            out.append((p, flush, 0, v[~o].tobytes(), c[~o].tobytes(), b"", b""))
+            out.append((p, flush, 0, squeeze(v[~o]), c[~o].tobytes(), b"", b""))
         if o.any():
             d = doc[f[o]]
             mine, index = np.unique(d, return_inverse=True)
-            out.append((p, flush, 1, v[o].tobytes(), index.astype(np.uint16).tobytes(), mine.tobytes(), s1[mine].tobytes()))
+            out.append((p, flush, 1, squeeze(v[o]), index.astype(np.uint16).tobytes(), mine.tobytes(), s1[mine].tobytes()))
     many = np.repeat(~one, count)
     table = np.concatenate([[len(n)], n, s1, s2]).astype(np.int64)
-    out.append((flush % parts, flush, 2, hashes[many].tobytes(), b"", doc[many].tobytes(), table.tobytes()))
+    out.append((flush % parts, flush, 2, squeeze(hashes[many]), b"", doc[many].tobytes(), table.tobytes()))
     return pa.RecordBatch.from_pylist([dict(zip(("part", "flush", "kind", "hashes", "counts", "docs", "sig"), r, strict=True)) for r in out], pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hashes", "counts", "docs", "sig"))]))
 
 
 def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one hash range: back to each pack its shingles that two classes share, with their frequency."""
+    trim()
     passed = rows[rows.kind == 2]
-    rows = rows[rows.kind != 2].reset_index(drop=True)
-    if not len(rows):
-        return passed
-    hashes = [np.frombuffer(x, np.uint64) for x in rows.hashes]
-    size = np.array([len(x) for x in hashes])
-    value = np.concatenate(hashes)
-    single = np.repeat(rows.kind.to_numpy() == 1, size)
-    count = np.concatenate([np.ones(len(h), np.int64) if k else np.frombuffer(c, np.uint32) for h, k, c in zip(hashes, rows.kind, rows.counts, strict=True)])
-    sig = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(c, np.uint16)] if k else np.zeros(len(h), np.int64) for h, k, c, s in zip(hashes, rows.kind, rows.counts, rows.sig, strict=True)])
+    rows = rows[rows.kind != 2]
+    packs = []
+    for r in rows.itertuples():
+        if r.kind:
+            packs.append((r.part, r.flush, 1, unsqueeze(r.hashes), np.frombuffer(r.counts, np.uint16), np.frombuffer(r.docs, np.uint16), np.frombuffer(r.sig, np.int64)))
+        else:
+            packs.append((r.part, r.flush, 0, unsqueeze(r.hashes), np.frombuffer(r.counts, np.uint32), None, None))
+    total = sum(len(p[3]) for p in packs)
+    out: list[tuple] = []
+    if total:
+        low, high = min(int(p[3][0]) for p in packs), max(int(p[3][-1]) for p in packs) + 1
+        steps = max(1, total // AT_ONCE)
+        cuts = np.array([low + (high - low) * k // steps for k in range(1, steps)], np.uint64)
+        edges = [np.concatenate([[0], np.searchsorted(p[3], cuts), [len(p[3])]]) for p in packs]
+        for k in range(steps):
+            out += _shared([(p, int(e[k]), int(e[k + 1])) for p, e in zip(packs, edges, strict=True) if e[k] < e[k + 1]])
+    return pd.concat([pd.DataFrame(out, columns=rows.columns).astype({"part": "int32", "flush": "int64", "kind": "int32"}), passed]) if out else passed
+
+
+def _shared(slices: list[tuple[tuple, int, int]]) -> list[tuple]:
+    """For slices of packs over one range of values: the rows that go back."""
+    if not slices:
+        return []
+    value = np.concatenate([p[3][a:b] for p, a, b in slices])
+    single = np.repeat([p[2] == 1 for p, _, _ in slices], [b - a for _, a, b in slices])
+    count = np.concatenate([np.ones(b - a, np.uint32) if p[2] else p[4][a:b] for p, a, b in slices])
+    sig = np.concatenate([p[6][p[4][a:b]] if p[2] else np.zeros(b - a, np.int64) for p, a, b in slices])
     order = np.argsort(value, kind="stable")
-    sorted_ = value[order]
-    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    total = np.add.reduceat(count[order], first)
+    ranked = value[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    size = np.diff(np.append(first, len(value)))
+    total = np.add.reduceat(count[order].astype(np.int64), first)
     shared = (np.minimum.reduceat(sig[order], first) != np.maximum.reduceat(sig[order], first)) | ~np.logical_and.reduceat(single[order], first)
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(value))))
     frequency, keep = np.zeros(len(value), np.uint32), np.zeros(len(value), bool)
-    frequency[order] = np.minimum(total[group], 0xFFFFFFFF)
-    keep[order] = shared[group]
-    ends = np.cumsum(size)
-    out = []
-    for i, (a, b) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
-        k = keep[a:b]
+    frequency[order] = np.repeat(np.minimum(total, 0xFFFFFFFF), size)
+    keep[order] = np.repeat(shared, size)
+    out, i = [], 0
+    for p, a, b in slices:
+        k = keep[i : i + b - a]
         if k.any():
-            docs = np.frombuffer(rows.docs[i], np.uint16)[np.frombuffer(rows.counts[i], np.uint16)[k]].tobytes() if rows.kind[i] else b""
-            out.append((rows.part[i], rows.flush[i], rows.kind[i], value[a:b][k].tobytes(), frequency[a:b][k].tobytes(), docs, b""))
-    return pd.concat([pd.DataFrame(out, columns=rows.columns).astype({"part": "int32", "flush": "int64", "kind": "int32"}), passed])
+            docs = p[5][p[4][a:b][k]].tobytes() if p[2] else b""
+            out.append((*p[:3], squeeze(p[3][a:b][k]), frequency[i : i + b - a][k].tobytes(), docs, b""))
+        i += b - a
+    return out
 
 
 def _survivors(percent: int):
@@ -153,13 +184,13 @@ def _survivors(percent: int):
         parts = []
         multi = rows[rows.kind == 0]
         if len(multi):
-            value = np.concatenate([np.frombuffer(x, np.uint64) for x in multi.hashes])
+            value = np.concatenate([unsqueeze(x) for x in multi.hashes])
             frequency = np.concatenate([np.frombuffer(x, np.uint32) for x in multi.counts])
             order = np.argsort(value)
-            mine = np.frombuffer(head.hashes, np.uint64)
+            mine = unsqueeze(head.hashes)
             parts.append((mine, frequency[order][np.searchsorted(value[order], mine)], np.frombuffer(head.docs, np.uint16)))
         for r in rows[rows.kind == 1].itertuples():
-            parts.append((np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.counts, np.uint32), np.frombuffer(r.docs, np.uint16)))
+            parts.append((unsqueeze(r.hashes), np.frombuffer(r.counts, np.uint32), np.frombuffer(r.docs, np.uint16)))
         columns = ["s1", "s2", "n", "shared"]
         if not parts:
             return pd.DataFrame([], columns=columns)
@@ -211,24 +242,116 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     label = materialize(components(near), "labels")
 
     # All pairs of groups that are not in one component yet (a group may lie in several).
-    of = members.select("id", "gid").join(label, "id", "left").select("gid", F.coalesce("component", "id").alias("c")).distinct()
-    lists = materialize(index.join(of, "gid"), "lists")
+    of_member = members.select("id", "gid").join(label, "id", "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
+    of_member = materialize(of_member, "members")
+    lists = index.join(of_member.select("gid", "c").distinct(), "gid")
+    each = lists.groupBy("token", "c").agg(F.count("*").alias("m"))
+    crossing = each.groupBy("token").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("crossing")).where("crossing > 0")
+    lists = materialize(lists.join(crossing, "token"), "lists")
+    few = lists.where(F.col("crossing") <= CROSSING)
+    rest = _verified(_sparse_pairs(few, of_member, percent), sets, percent)
+    dense = _dense_links(lists.where(F.col("crossing") > CROSSING), of_member, sets, percent)
+    return components(near.union(rest).union(dense))
+
+
+def _sparse_pairs(lists: DataFrame, of_member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members from groups that share a prefix shingle and pass the filters."""
     several = lists.select("token", "c").distinct()
-    several = several.join(several.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token", "left_semi")
     meet = several.alias("x").join(several.alias("y"), "token").where("x.c < y.c").select("token", F.col("x.c").alias("c1"), F.col("y.c").alias("c2"))
     x = lists.select("token", *(F.col(k).alias(f"{k}1") for k in ("c", "gid", "n", "at")))
     y = lists.select("token", *(F.col(k).alias(f"{k}2") for k in ("c", "gid", "n", "at")))
     pairs = meet.join(x, ["token", "c1"]).join(y, ["token", "c2"])
     pairs = pairs.where((F.col("n1") * percent <= F.col("n2") * 100) & (F.col("n2") * percent <= F.col("n1") * 100))
-    # At the last shared token of the prefixes: what is shared so far and at most all that follows.
+    # At the last shared token of the prefixes: what is shared so far and at most all that follows. Pairs that
+    # share one of the other tokens too are compared in blocks, whatever this bound says of them.
     pairs = pairs.groupBy("c1", "c2", "gid1", "gid2", "n1", "n2").agg(F.count("*").alias("so_far"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
     most = F.col("so_far") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
     pairs = pairs.where(most >= _least_overlap(F.col("n1"), F.col("n2"), percent))
-    of_member = members.select("id", "gid").join(label, "id", "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
     a = of_member.select(F.col("id").alias("a"), F.col("gid").alias("gid1"), F.col("c").alias("c1"))
     b = of_member.select(F.col("id").alias("b"), F.col("gid").alias("gid2"), F.col("c").alias("c2"))
-    rest = pairs.select("c1", "c2", "gid1", "gid2").join(a, ["gid1", "c1"]).join(b, ["gid2", "c2"]).select("a", "b").distinct()
-    return components(near.union(_verified(rest, sets, percent).select("a", "b")))
+    return pairs.select("c1", "c2", "gid1", "gid2").join(a, ["gid1", "c1"]).join(b, ["gid2", "c2"]).select("a", "b").distinct()
+
+
+BLOCKS = "family long, block long, c_low long, c_high long, n_low long, n_high long, ids binary, cs binary, ns binary, sizes binary, sets binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack sorted classes (family, c, id, n, shared) into blocks of one family."""
+    held: list[dict] = []
+    total = 0
+
+    def pack() -> pa.RecordBatch:
+        c, n, i = (np.array([r[k] for r in held], np.int64) for k in ("c", "n", "id"))
+        one = {"family": held[0]["family"], "block": int(i.min()), "c_low": int(c.min()), "c_high": int(c.max()), "n_low": int(n.min()), "n_high": int(n.max()), "ids": i.tobytes(), "cs": c.tobytes(), "ns": n.tobytes(), "sizes": np.array([len(r["shared"]) for r in held], np.int64).tobytes(), "sets": np.concatenate([np.array(r["shared"], np.int64) for r in held]).tobytes()}
+        return pa.RecordBatch.from_pylist([one], pa.schema([*((k, pa.int64()) for k in ("family", "block", "c_low", "c_high", "n_low", "n_high")), *((k, pa.binary()) for k in ("ids", "cs", "ns", "sizes", "sets"))]))
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and (held[0]["family"] != r["family"] or len(held) >= BLOCK or total + len(r["shared"]) > BLOCK_SHINGLES):
+                yield pack()
+                held, total = [], 0
+            held.append(r)
+            total += len(r["shared"])
+    if held:
+        yield pack()
+    trim()
+
+
+def overlaps(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of the sets that lie one after another in x with those in y."""
+    out = np.zeros((len(x_size), len(y_size)), np.float32)
+    tokens = np.intersect1d(x, y)
+    rx, ry = np.repeat(np.arange(len(x_size)), x_size), np.repeat(np.arange(len(y_size)), y_size)
+    px, py = np.searchsorted(tokens, x), np.searchsorted(tokens, y)
+    okx, oky = (tokens[np.minimum(p, max(len(tokens) - 1, 0))] == v if len(tokens) else np.zeros(len(v), bool) for p, v in ((px, x), (py, y)))
+    for a in range(0, len(tokens), COLUMNS):
+        left, right = (np.zeros((len(s), min(COLUMNS, len(tokens) - a)), np.float32) for s in (x_size, y_size))
+        for m, p, r, ok in ((left, px, rx, okx), (right, py, ry, oky)):
+            here = ok & (p >= a) & (p < a + COLUMNS)
+            m[r[here], p[here] - a] = 1
+        out += left @ right.T
+    return out.astype(np.int64)
+
+
+def _compared(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sides = [{k: np.frombuffer(r[k + end], np.int64) for k in ("ids", "cs", "ns", "sizes", "sets")} for end in ("", "2")]
+                x, y = sides
+                both = overlaps(x["sets"], x["sizes"], y["sets"], y["sizes"])
+                link = (100 * both >= percent * (x["ns"][:, None] + y["ns"] - both)) & (x["cs"][:, None] != y["cs"])
+                i, j = np.nonzero(link)
+                name = np.concatenate([x["ids"], y["ids"]])
+                edges = forest(i, j + len(x["ids"]), len(name))
+                yield pa.RecordBatch.from_arrays([pa.array(name[[e[0] for e in edges]], pa.int64()), pa.array(name[[e[1] for e in edges]], pa.int64())], ["a", "b"])
+        trim()
+
+    return run
+
+
+def _dense_links(lists: DataFrame, of_member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold together all that link across components and share one of these prefix shingles."""
+    spark = lists.sparkSession
+    hub = lists.groupBy("token").agg(F.min("gid").alias("a"))
+    edges = materialize(lists.select("token", F.col("gid").alias("b")).join(hub, "token").select("a", "b").distinct(), "links")
+    family = materialize(components(edges).select(F.col("id").alias("gid"), F.col("component").alias("family")), "families")
+    rows = of_member.join(family, "gid").select("id", "c", "family").join(sets, "id").select("family", "c", "id", "n", "shared")
+    order = ["family", "c", "id"]
+    parts = input_parts(lists, least=8)
+    with batch_rows(spark, 100):
+        blocks = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks, BLOCKS), "blocks")
+    head = blocks.select("family", "block", "c_low", "c_high", "n_low", "n_high")
+    other = head.select("family", *(F.col(k).alias(f"{k}2") for k in ("block", "c_low", "c_high", "n_low", "n_high")))
+    apart = ~((F.col("c_low") == F.col("c_high")) & (F.col("c_low2") == F.col("c_high2")) & (F.col("c_low") == F.col("c_low2")))
+    sizes = (F.col("n_low") * percent <= F.col("n_high2") * 100) & (F.col("n_low2") * percent <= F.col("n_high") * 100)
+    meet = head.join(other, "family").where((F.col("block") <= F.col("block2")) & apart & sizes).select("block", "block2")
+    data = ("ids", "cs", "ns", "sizes", "sets")
+    x = blocks.select("block", *data)
+    y = blocks.select(F.col("block").alias("block2"), *(F.col(k).alias(f"{k}2") for k in data))
+    pairs = meet.join(x, "block").join(y, "block2").repartition(parts, "block", "block2")
+    with batch_rows(spark, 8):
+        return materialize(pairs.mapInArrow(_compared(percent), "a long, b long"), "links")
 
 
 def join(docs: DataFrame, percent: int = 85, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
