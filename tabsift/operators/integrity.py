@@ -102,7 +102,8 @@ def _partial_counts(columns: list[int]):
                 both = both & ok[k]
                 valid[at] += both.sum()
                 matched[at] += (np.abs(s[both] - x[k][both]) <= DEFAULT_TOLERANCE).sum()
-        yield pa.RecordBatch.from_pydict({"k": [columns[c[0]] for c in combos], "i": [columns[c[1]] for c in combos], "j": [columns[c[2]] for c in combos], "valid": valid, "matched": matched})
+        place = lambda p: pa.array([columns[c[p]] for c in combos], pa.int32())
+        yield pa.RecordBatch.from_pydict({"k": place(0), "i": place(1), "j": place(2), "valid": valid, "matched": matched})
 
     return run
 
