@@ -235,3 +235,18 @@ def round3(x: Column) -> Column:
 def normalize_cell(c: Column, trim_whitespace: bool, case_insensitive: bool) -> Column:
     out = normalize_whitespace(c) if trim_whitespace else c
     return F.lower(out) if case_insensitive else out
+
+
+def bigrams(c: Column) -> Column:
+    return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+
+
+def dice_similarity(a: Column, b: Column) -> Column:
+    """Sorensen-Dice similarity of bigram multisets: 1 for equal strings, else 0 for those shorter than 2."""
+
+    def score(x: Column, y: Column) -> Column:
+        count = lambda g, of: F.size(F.filter(of, lambda v: v == g))
+        both = F.reduce(F.array_distinct(x), F.lit(0), lambda n, g: n + F.least(count(g, x), count(g, y)))
+        return 2 * both / (F.size(x) + F.size(y))
+
+    return F.when(a == b, 1.0).otherwise(F.coalesce(let(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), lambda s: score(s["x"], s["y"])), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -33,6 +33,35 @@ def _parsed(df: DataFrame) -> DataFrame:
     return flags.withColumn("ws", ~F.col("blank") & S.needs_whitespace_trim(raw)).select("rid", "col", "raw", "trimmed", "blank", "num_s", "num", "date", "type", "ws").transform(fenced)
 
 
+#: Ranges into which a column's numbers are dealt to find exact quantiles.
+RANGES = 64
+
+
+def quantiles(parsed: DataFrame, probabilities: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(col, q): exact quantiles with linear interpolation between ranks, as an array.
+
+    Approximate quantiles deal a column's numbers into RANGES ranges; exact counts of these tell which
+    ranges hold the wanted ranks, and only their distinct numbers are sorted, range by range.
+    """
+    rows = parsed.where("num is not null").select("col", "num")
+    splits = rows.groupBy("col").agg(F.count("*").alias("n"), F.percentile_approx("num", [i / RANGES for i in range(1, RANGES)], 1000).alias("splits"))
+    splits = F.broadcast(splits)  # a row for each column of the table
+    dealt = rows.join(splits, "col").select("col", "num", F.size(F.filter("splits", lambda s: s < F.col("num"))).alias("range"))
+    counts = dealt.groupBy("col", "range").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("col").orderBy("range"))
+    counts = counts.select("col", "range", "c", (upto - F.col("c")).alias("before"))  # RANGES rows for each column
+    place = (F.col("n") - 1) * F.col("p")
+    ranks = splits.select("col", "n", F.posexplode(F.array(*(F.lit(p) for p in probabilities))).alias("k", "p"))
+    ranks = ranks.select("col", "k", F.explode(F.array(F.struct(F.floor(place).alias("rank"), (1 - (place - F.floor(place))).alias("w")), F.struct((F.floor(place) + 1).alias("rank"), (place - F.floor(place)).alias("w")))).alias("x")).select("col", "k", "x.*").where("w > 0")
+    wanted = ranks.join(counts, "col").where("before <= rank and rank < before + c").select("col", "range", "k", "w", (F.col("rank") - F.col("before")).alias("inner"))
+    values = dealt.join(F.broadcast(wanted.select("col", "range").distinct()), ["col", "range"], "left_semi").groupBy("col", "range", "num").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("col", "range").orderBy("num"))
+    values = values.withColumn("last", upto)
+    found = values.join(F.broadcast(wanted), ["col", "range"]).where("last - c <= inner and inner < last")
+    each = found.groupBy("col", "k").agg(F.sum(F.col("num") * F.col("w")).alias("q"))
+    return each.groupBy("col").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("q"))
+
+
 def profile_frame(parsed: DataFrame) -> DataFrame:
     """A row for each column: counts, distinct values, numeric statistics, date shapes by first row."""
     is_num = F.col("type").isin("integer", "decimal")
@@ -48,7 +77,6 @@ def profile_frame(parsed: DataFrame) -> DataFrame:
         F.avg(n).alias("mean"),
         F.sum(n).alias("sum"),
         F.when(F.count(n) < 2, 0.0).otherwise(F.stddev_samp(n)).alias("stdev"),
-        F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
     )
     shapes = parsed.where("date is not null and not blank").groupBy("col", F.col("date.shape").alias("shape")).agg(F.min("rid").alias("rid"))
     order = shapes.groupBy("col").agg(F.transform(F.array_sort(F.collect_list(F.struct("rid", "shape"))), lambda s: s["shape"]).alias("shapes"))  # a row for each shape
@@ -56,7 +84,7 @@ def profile_frame(parsed: DataFrame) -> DataFrame:
     kind = F.when(F.col("total") == F.col("n_empty"), "empty")
     for t in TYPES:
         kind = kind.when(F.col(f"n_{t}") == top, t)
-    out = out.join(order, "col", "left").withColumn("type", kind)
+    out = out.join(order, "col", "left").join(quantiles(parsed.where(is_num)), "col", "left").withColumn("type", kind)
     return out.withColumn("confidence", F.when(F.col("type") != "empty", top / (F.col("total") - F.col("n_empty"))).otherwise(0.0))
 
 

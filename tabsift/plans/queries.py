@@ -164,7 +164,7 @@ _NUMERIC = "ptype IN ('integer', 'decimal')"
     + ", CASE WHEN ptype = 'date' THEN shapes END AS date_formats FROM prof LEFT JOIN so ON prof.col = so.col"
 )
 def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.profile_frame(C.cells(dirty(spark, sf_dir)))
+    p = C.profile_frame(C.cells(dirty(spark, sf_dir)).persist())
     numeric = F.col("type").isin("integer", "decimal")
     stat = lambda c, name: F.when(numeric, F.round(c, 3)).alias(name)
     return p.select("col", "total", F.col("distinct").alias("distinct_count"), *(f"n_{t}" for t in (*TYPES, "empty")), "type", F.round("confidence", 9).alias("confidence"), F.when(numeric, F.col("count")).alias("n"), stat(F.col("min"), "min"), stat(F.col("max"), "max"), stat(F.col("mean"), "mean"), stat(F.col("sum"), "sum"), stat(F.col("stdev"), "stdev"), stat(F.col("q")[0], "q1"), stat(F.col("q")[1], "median"), stat(F.col("q")[2], "q3"), F.when(F.col("type") == "date", F.array_join("shapes", "|")).alias("date_formats"))
@@ -222,7 +222,7 @@ def ambiguous_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PROFILED}, n AS (SELECT p.col, count(*) AS cells, count(*) FILTER (regexp_matches(raw, '[{_CUR}]')) AS with_currency, count(*) FILTER (contains(raw, ',')) AS with_grouping FROM parsed p JOIN prof ON prof.col = p.col WHERE {_NUMERIC} AND NOT blank GROUP BY p.col) SELECT * FROM n WHERE (with_currency > 0 AND with_currency < cells) OR (with_grouping > 0 AND with_grouping < cells)")
 def inconsistent_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    parsed = C.cells(table)
+    parsed = C.cells(table).persist()
     use = [p.index for p in C.profiles(table, parsed) if p.type in K.NUMERIC]
     n = K.number_hits(parsed, use).groupBy("col").agg(F.count("*").alias("cells"), F.count_if("currency").alias("with_currency"), F.count_if("grouping").alias("with_grouping"))
     return n.where("(with_currency > 0 and with_currency < cells) or (with_grouping > 0 and with_grouping < cells)")
@@ -242,7 +242,7 @@ def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PROFILED} SELECT rid, p.col, raw AS value, type AS found FROM parsed p JOIN prof ON prof.col = p.col WHERE confidence >= 0.7 AND ptype IN ('integer', 'decimal', 'date', 'boolean') AND NOT blank AND type <> ptype AND NOT (type IN ('integer', 'decimal') AND ptype IN ('integer', 'decimal'))")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    parsed = C.cells(table)
+    parsed = C.cells(table).persist()
     return K.mismatch_hits(parsed, C.profiles(table, parsed)).select("rid", "col", F.col("example.value").alias("value"), F.col("example.found").alias("found"))
 
 
@@ -253,7 +253,7 @@ _Z = "(sd > 0 AND abs((num - mean) / sd) > 1.8)"
 @query(f"WITH {PROFILED} SELECT rid, p.col, num AS value, {_IQR} AS iqr, {_Z} AS z FROM parsed p JOIN prof ON prof.col = p.col WHERE {_NUMERIC} AND n_num >= 4 AND num IS NOT NULL AND ({_IQR} OR {_Z})")
 def statistical_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    parsed = C.cells(table)
+    parsed = C.cells(table).persist()
     return K.outlier_hits(parsed, C.profiles(table, parsed), Outliers(z_score_threshold=1.8, iqr_multiplier=0.6)).select("rid", "col", F.col("example").alias("value"), "iqr", "z")
 
 

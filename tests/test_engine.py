@@ -176,6 +176,21 @@ def test_profiles(spark):
     assert (p[1].type, p[1].type_confidence) == ("boolean", 1) and p[2].type == "integer"
 
 
+def test_quantiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    from tabsift.operators.cells import cells, quantiles
+
+    r = random.Random(3)
+    for n in (1, 2, 3, 4, 7, 100, 1501):
+        values = [r.choice([r.randint(0, 40), round(r.random() * 1000, 3)]) for _ in range(n)]
+        t = table(spark, ["a", "b"], *[(str(v), str(i)) for i, v in enumerate(values)])
+        got = {x.col: x.q for x in quantiles(cells(t)).collect()}
+        assert got[0] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75])) and got[1] == pytest.approx(np.quantile(range(n), [0.25, 0.5, 0.75]))
+
+
 def test_clean_keeps_what_is_unsafe(spark):
     c = clean_table(table(spark, ["d", "e"], ("05/06/2024", ""), ("07/08/2024", " "), ("a\x01", "")))
     assert c.summary["cells_changed"] == 0 and c.table.rows()[2] == ["a\x01", ""]

@@ -75,3 +75,10 @@ def test_types(spark):
 
 def test_round3_rounds_halves_up(spark):
     assert column(spark, ["0.8765", "0.12345"], lambda c: S.round3(c.cast("double"))) == [0.877, 0.123]
+
+
+def test_dice(spark):
+    pairs = [("Jonathan Smith", "Jonathon Smith", 22 / 26), ("aaa", "aa", 2 / 3), ("a", "a", 1.0), ("a", "b", 0.0), ("ab", "cd", 0.0), ("", "ab", 0.0)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, s double")
+    got = rows.select("s", S.dice_similarity(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == pytest.approx([r.s for r in got])
