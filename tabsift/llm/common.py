@@ -88,9 +88,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def input_parts(df: DataFrame, least: int = 32, most: int = 20_000) -> int:
-    """A number of hash buckets that follows the input: that of its scan tasks, within limits."""
-    return max(least, min(most, df.rdd.getNumPartitions()))
+def input_parts(df: DataFrame, least: int = 32, most: int = 20_000, each: int = 1) -> int:
+    """A number of hash buckets that follows the input: `each` for a scan task, within limits."""
+    return max(least, min(most, each * df.rdd.getNumPartitions()))
 
 
 def pieces(batch: pa.RecordBatch | pa.Array, column: str | None = None, most: int = 1 << 21) -> Iterator[pa.Array]:

@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -51,6 +50,8 @@ AT_ONCE = 250_000
 CROSSING, BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 256, 400_000, 4096
 #: flush: task and number of a pack; part: hash range; kind: 0 shared inside the pack, 1 single, 2 the pack's own table
 PACK = "part int, flush long, kind int, hashes binary, counts binary, docs binary, sig binary"
+PACKED = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hashes", "counts", "docs", "sig"))])
+SURVIVORS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("shared", pa.list_(pa.int64()))])
 
 
 def _sketch(width: int):
@@ -121,20 +122,25 @@ def _pack(held: list, flush: int, parts: int) -> pa.RecordBatch:
     many = np.repeat(~one, count)
     table = np.concatenate([[len(n)], n, s1, s2]).astype(np.int64)
     out.append((flush % parts, flush, 2, squeeze(hashes[many]), b"", doc[many].tobytes(), table.tobytes()))
-    return pa.RecordBatch.from_pylist([dict(zip(("part", "flush", "kind", "hashes", "counts", "docs", "sig"), r, strict=True)) for r in out], pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hashes", "counts", "docs", "sig"))]))
+    return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in out], PACKED)
 
 
-def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
+def _binary(rows: pa.Table, i: int, column: str) -> pa.Buffer:
+    return rows.column(column)[i].as_buffer()
+
+
+def _frequencies(rows: pa.Table) -> pa.Table:
     """Of one hash range: back to each pack its shingles that two classes share, with their frequency."""
     trim()
-    passed = rows[rows.kind == 2]
-    rows = rows[rows.kind != 2]
+    rows = rows.combine_chunks()
+    part, flush, kind = (rows.column(c).to_pylist() for c in ("part", "flush", "kind"))
     packs = []
-    for r in rows.itertuples():
-        if r.kind:
-            packs.append((r.part, r.flush, 1, unsqueeze(r.hashes), np.frombuffer(r.counts, np.uint16), np.frombuffer(r.docs, np.uint16), np.frombuffer(r.sig, np.int64)))
+    for i in (i for i, k in enumerate(kind) if k != 2):
+        hashes = unsqueeze(_binary(rows, i, "hashes"))
+        if kind[i]:
+            packs.append((part[i], flush[i], 1, hashes, np.frombuffer(_binary(rows, i, "counts"), np.uint16), np.frombuffer(_binary(rows, i, "docs"), np.uint16), np.frombuffer(_binary(rows, i, "sig"), np.int64)))
         else:
-            packs.append((r.part, r.flush, 0, unsqueeze(r.hashes), np.frombuffer(r.counts, np.uint32), None, None))
+            packs.append((part[i], flush[i], 0, hashes, np.frombuffer(_binary(rows, i, "counts"), np.uint32), None, None))
     total = sum(len(p[3]) for p in packs)
     out: list[tuple] = []
     if total:
@@ -144,7 +150,9 @@ def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
         edges = [np.concatenate([[0], np.searchsorted(p[3], cuts), [len(p[3])]]) for p in packs]
         for k in range(steps):
             out += _shared([(p, int(e[k]), int(e[k + 1])) for p, e in zip(packs, edges, strict=True) if e[k] < e[k + 1]])
-    return pd.concat([pd.DataFrame(out, columns=rows.columns).astype({"part": "int32", "flush": "int64", "kind": "int32"}), passed]) if out else passed
+    found = pa.Table.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in out], PACKED)
+    passed = rows.filter(pa.array([k == 2 for k in kind], pa.bool_())).cast(PACKED)
+    return pa.concat_tables([found, passed])
 
 
 def _shared(slices: list[tuple[tuple, int, int]]) -> list[tuple]:
@@ -177,33 +185,34 @@ def _shared(slices: list[tuple[tuple, int, int]]) -> list[tuple]:
 def _survivors(percent: int):
     """Of one pack: the classes with enough shared shingles, and these by frequency, then hash."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows[rows.kind == 2].iloc[0]
-        table = np.frombuffer(head.sig, np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        trim()
+        kind = rows.column("kind").to_pylist()
+        head = kind.index(2)
+        table = np.frombuffer(_binary(rows, head, "sig"), np.int64)
         n, s1, s2 = table[1:].reshape(3, table[0])
         parts = []
-        multi = rows[rows.kind == 0]
-        if len(multi):
-            value = np.concatenate([unsqueeze(x) for x in multi.hashes])
-            frequency = np.concatenate([np.frombuffer(x, np.uint32) for x in multi.counts])
+        multi = [i for i, k in enumerate(kind) if k == 0]
+        if multi:
+            value = np.concatenate([unsqueeze(_binary(rows, i, "hashes")) for i in multi])
+            frequency = np.concatenate([np.frombuffer(_binary(rows, i, "counts"), np.uint32) for i in multi])
             order = np.argsort(value)
-            mine = unsqueeze(head.hashes)
-            parts.append((mine, frequency[order][np.searchsorted(value[order], mine)], np.frombuffer(head.docs, np.uint16)))
-        for r in rows[rows.kind == 1].itertuples():
-            parts.append((unsqueeze(r.hashes), np.frombuffer(r.counts, np.uint32), np.frombuffer(r.docs, np.uint16)))
-        columns = ["s1", "s2", "n", "shared"]
+            mine = unsqueeze(_binary(rows, head, "hashes"))
+            parts.append((mine, frequency[order][np.searchsorted(value[order], mine)], np.frombuffer(_binary(rows, head, "docs"), np.uint16)))
+        for i in (i for i, k in enumerate(kind) if k == 1):
+            parts.append((unsqueeze(_binary(rows, i, "hashes")), np.frombuffer(_binary(rows, i, "counts"), np.uint32), np.frombuffer(_binary(rows, i, "docs"), np.uint16)))
         if not parts:
-            return pd.DataFrame([], columns=columns)
+            return SURVIVORS.empty_table()
         value, frequency, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         have = np.bincount(doc, minlength=len(n))
         good = have >= -(-percent * n // 100)
         take = good[doc]
         value, frequency, doc = value[take], frequency[take], doc[take]
         order = np.lexsort((value, frequency, doc))
-        value, doc = value[order].view(np.int64), doc[order]
         which = np.flatnonzero(good)
-        a, b = np.searchsorted(doc, which), np.searchsorted(doc, which, "right")
-        return pd.DataFrame({"s1": s1[which], "s2": s2[which], "n": n[which], "shared": [value[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]}, columns=columns)
+        off = np.append(0, np.cumsum(have[which]))
+        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(value[order].view(np.int64)))
+        return pa.Table.from_arrays([pa.array(s1[which]), pa.array(s2[which]), pa.array(n[which]), lists], schema=SURVIVORS)
 
     return run
 
@@ -339,7 +348,7 @@ def _dense_links(lists: DataFrame, of_member: DataFrame, sets: DataFrame, percen
     rows = of_member.join(family, "gid").select("id", "c", "family").join(sets, "id").select("family", "c", "id", "n", "shared")
     order = ["family", "c", "id"]
     parts = input_parts(lists, least=8)
-    with batch_rows(spark, 100):
+    with batch_rows(spark, 50):
         blocks = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks, BLOCKS), "blocks")
     head = blocks.select("family", "block", "c_low", "c_high", "n_low", "n_high")
     other = head.select("family", *(F.col(k).alias(f"{k}2") for k in ("block", "c_low", "c_high", "n_low", "n_high")))
@@ -350,7 +359,7 @@ def _dense_links(lists: DataFrame, of_member: DataFrame, sets: DataFrame, percen
     x = blocks.select("block", *data)
     y = blocks.select(F.col("block").alias("block2"), *(F.col(k).alias(f"{k}2") for k in data))
     pairs = meet.join(x, "block").join(y, "block2").repartition(parts, "block", "block2")
-    with batch_rows(spark, 8):
+    with batch_rows(spark, 2):
         return materialize(pairs.mapInArrow(_compared(percent), "a long, b long"), "links")
 
 
@@ -362,10 +371,10 @@ def join(docs: DataFrame, percent: int = 85, width: int = 4, key: str = "doc_id"
     sketched = materialize(sketch(docs, width), "sketch")
     real = sketched.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    parts = input_parts(docs)
+    parts = input_parts(docs, least=64, most=40_000, each=2)
     packed = docs.where("doc_id is not null").mapInArrow(_packs(width, parts), PACK)
-    counted = packed.repartition(parts, "part").groupBy("part").applyInPandas(_frequencies, PACK)
-    left = counted.groupBy("flush").applyInPandas(_survivors(percent), "s1 long, s2 long, n long, shared array<long>")
+    counted = packed.repartition(parts, "part").groupBy("part").applyInArrow(_frequencies, PACK)
+    left = counted.groupBy("flush").applyInArrow(_survivors(percent), "s1 long, s2 long, n long, shared array<long>")
     left = materialize(left, "survivors").dropDuplicates(["s1", "s2"])
     sets = materialize(left.join(classes, ["s1", "s2"]).select("id", "n", "shared"), "sets")
     linked = materialize(link_classes(sets, percent), "components")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trim
 
 UND = "und"
 PROFILE, SAMPLE = 400, 2000
@@ -86,6 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t for t, k in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if k == lang]
             keys, n = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
             yield pa.record_batch({"lang": pa.array([lang] * len(keys), pa.string()), "gram": keys, "n": n.astype(np.int64)})
+    trim()
 
 
 def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Profiles:
