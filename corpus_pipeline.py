@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsift.llm import jaccard_join, language, mixing, pii, sentencepiece_bpe
-from tabsift.llm.common import bounded_batches, materialize, pieces, release, table
+from tabsift.llm.common import bounded_batches, materialize, pieces, release, table, trim
 
 #: Scores under which a text is near no language that was learned; texts of the learned ones have 0.45 and more.
 LEAST_SCORE = 0.3
@@ -76,6 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for part in pieces(text, None, mixing.TEXT):
             number, off, _ = mixing.features(part)
             out.append(np.floor(rates(model.posteriors(number, off))[0] + 0.5))
+        trim()
         return pa.array(np.concatenate(out).astype(np.int32))
 
     some = docs.withColumn(ROW, F.arrow_udf(copies, "int")("text")).where(F.col(ROW) > 0)

@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-The words of a batch that no earlier batch had lie in one flat numpy array of symbols. Each round
-looks up the rank of every adjacent pair, takes the least rank of each word (a segmented
+The words of a batch are told apart by 64-bit hashes, and its distinct words lie in one flat numpy
+array of symbols. Each round looks up the rank of every adjacent pair, takes the least rank of each word (a segmented
 minimum), merges all leftmost non-overlapping pairs of that rank at once, and compacts the array;
 a word without a pair that is in the vocabulary leaves. The result equals the library's, which
 merges one pair at a time, as long as a merge makes no pair of the same or a better rank. For
@@ -17,22 +17,21 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gather_runs, pieces
+from .common import bounded_batches, flat_bytes, gather_runs, pieces, trim
+from .shingles import BACK, BASE, _power, mix
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 HASH = 0x9E3779B97F4A7C15
-#: Words whose ids a worker keeps between batches, and the longest word after which it starts anew.
-KEPT_WORDS, KEPT_LENGTH = 600_000, 1 << 16
+#: Symbols that go through the merge rounds together (but for a single longer word), and bytes encoded at once.
+SYMBOLS, TEXT = 250_000, 1 << 20
 #: Symbols over which a word that allows one merge a round only is left to the agenda.
 AGENDA = 64
 
@@ -85,7 +84,6 @@ class BpeModel:
         self.byte_ids = np.array([byte[b] for b in range(256)], np.int32)
         self._symbols(np.flatnonzero(kinds == 1).tolist(), scores)
         self._surfaces(kinds, unk_surface)
-        self._forget()
 
     def _symbols(self, normal: list[int], scores: np.ndarray) -> None:
         symbol = {self.names[i]: i for i in normal}
@@ -113,15 +111,12 @@ class BpeModel:
                     for part in (a, b):
                         if part in rank_of and len(self.names[part]) > 1 and rank_of[i] <= rank_of[part]:
                             unsafe[part] = True
-        self.merges, self.unsafe = merges, unsafe
+        self.unsafe = unsafe
         self._table(merges)
         # No piece goes on behind a character that ends a word here.
         inner = {(a, b) for p in pieces_of for a, b in zip(p, p[1:], strict=False)}
-        apart = "".join(c for c in "\n\t\r" if not any(c in x for x in inner))
-        if any(b == SPACE and a != SPACE for a, b in inner):
-            self.words = re.compile(f"[^{apart}]+|[{apart}]" if apart else "(?s:.+)").findall
-        else:
-            self.words = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]" if apart else "")).findall
+        self.apart = [ord(c) for c in "\n\t\r" if not any(c in x for x in inner)]
+        self.led = not any(b == SPACE and a != SPACE for a, b in inner)
 
     def _table(self, merges: dict[int, tuple[int, int]]) -> None:
         """An open hash table of the pairs, at most a quarter full; a lookup goes on to the next slot."""
@@ -150,13 +145,6 @@ class BpeModel:
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.surface = out
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
-        self.flat = np.zeros(1 << 14, np.int32)
-        self.used = 0
-
     # encoding
 
     def _rank_pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +159,16 @@ class BpeModel:
         slot[self.keys[slot] != key] = len(self.keys) - 1
         return self.value[0, slot], self.value[1, slot]
 
+    def _merge(self, a: int, b: int) -> tuple[int, int] | None:
+        """The rank of a pair and what it becomes."""
+        key = a * self.size + b
+        slot = ((key * HASH) & (2**64 - 1)) >> int(self.shift)
+        while self.keys[slot] >= 0:
+            if self.keys[slot] == key:
+                return int(self.value[0, slot]), int(self.value[1, slot])
+            slot = (slot + 1) % (len(self.keys) - 1)
+        return None
+
     def _agenda(self, symbols: list[int]) -> list[int]:
         """Merge one pair at a time, best rank first and leftmost among equals."""
         sym = list(symbols)
@@ -178,8 +176,8 @@ class BpeModel:
         heap: list[tuple[int, int, int, int]] = []
 
         def add(i: int, j: int) -> None:
-            if i >= 0 and j < len(sym) and (m := self.merges.get(sym[i] * self.size + sym[j])):
-                heapq.heappush(heap, (m[1], i, sym[i], sym[j]))
+            if i >= 0 and j < len(sym) and (m := self._merge(sym[i], sym[j])):
+                heapq.heappush(heap, (m[0], i, sym[i], sym[j]))
 
         for i in range(len(sym) - 1):
             add(i, i + 1)
@@ -188,7 +186,7 @@ class BpeModel:
             j = after[i]
             if sym[i] != a or j >= len(sym) or sym[j] != b:
                 continue
-            sym[i], sym[j] = self.merges[a * self.size + b][0], -1
+            sym[i], sym[j] = self._merge(a, b)[1], -1
             after[i] = after[j]
             if after[j] < len(sym):
                 before[after[j]] = i
@@ -196,12 +194,9 @@ class BpeModel:
             add(i, after[i])
         return [x for x in sym if x >= 0]
 
-    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and how many each word has."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        base = np.cumsum(lengths) - lengths
-        sym, word = self.char[points], np.repeat(np.arange(len(words)), lengths)
+    def merge_words(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, whose code points lie one after another, in one array, and how many each word has."""
+        sym, word = self.char[points], np.repeat(np.arange(len(lengths)), lengths)
         pos = np.arange(len(sym))  # where the symbol's first character is
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rank, to = np.zeros(len(sym), np.int32), np.zeros(len(sym), np.int32)
@@ -226,12 +221,12 @@ class BpeModel:
                 owner = word[at]
                 later = np.append(False, owner[1:] == owner[:-1])
                 if later.any():  # several at once only where no merge makes a pair of this rank or a better one
-                    risky = np.zeros(len(words), bool)
+                    risky = np.zeros(len(lengths), bool)
                     risky[owner[self.unsafe[to[at]]]] = True
-                    single = np.zeros(len(words), bool)
+                    single = np.zeros(len(lengths), bool)
                     single[owner[later]] = True
                     single &= risky
-                    alone = single & (np.bincount(word, minlength=len(words)) > AGENDA)
+                    alone = single & (np.bincount(word, minlength=len(lengths)) > AGENDA)
                     if alone.any():
                         for w, i in zip(word[first].tolist(), range(len(first)), strict=True):
                             if alone[w]:
@@ -251,52 +246,67 @@ class BpeModel:
             fresh = np.flatnonzero(changed)
             sym, word, pos, rank, to = sym[open_], word[open_], pos[open_], rank[open_], to[open_]
         if not done:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
         sym, word, pos = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(pos, kind="stable")
         sym, word, pos = sym[order], word[order], pos[order]
         raw = sym >= len(self.names)
         if not raw.any():
-            return sym, np.bincount(word, minlength=len(words))
+            return sym, np.bincount(word, minlength=len(lengths))
         cp = points[pos]  # characters without a piece become their UTF-8 bytes
         wide = np.where(raw, 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000), 1)
         out = np.repeat(sym, wide)
         text = np.frombuffer(cp[raw].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
         out[np.repeat(raw, wide)] = self.byte_ids[text]
-        return out.astype(np.int32), np.bincount(np.repeat(word, wide), minlength=len(words))
-
-    def _learn(self, new: list[str]) -> None:
-        ids, counts = self.merge_words(new)
-        n = len(self.known)
-        while n + len(new) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[n : n + len(new)] = self.used + np.cumsum(counts) - counts
-        self.length[n : n + len(new)] = counts
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def encode(self, texts: list[str | None], eos: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the offsets of the texts in it."""
-        lead = SPACE if self.prefix else ""
-        words = [self.words(lead + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = set(chain.from_iterable(words)).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
-        per_word = self.length[index]
-        ids = self.flat[gather_runs(self.start[index], per_word)]
-        n_words = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.append(0, np.cumsum(per_word))[np.cumsum(n_words)] if len(words) else np.zeros(0, np.int64)
-        off = np.append(0, ends)
+        return out.astype(np.int32), np.bincount(np.repeat(word, wide), minlength=len(lengths))
+
+    def _points(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Code points with spaces escaped and a prefix before each text that is not empty, and the texts' offsets."""
+        raw, off = flat_bytes(text)
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        off = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[off]
+        if self.prefix:
+            full = np.diff(off) > 0
+            points = np.insert(points, off[:-1][full], ord(SPACE))
+            off = off + np.append(0, np.cumsum(full))
+        return np.where(points == 32, np.uint32(ord(SPACE)), points), off
+
+    def encode(self, text: pa.Array, eos: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the offsets of the texts in it; a null is empty."""
+        points, off = self._points(text)
+        n = len(points)
+        start = np.zeros(n + 1, bool)
+        start[off] = True  # no piece goes over these places
+        if self.led:
+            space = points == ord(SPACE)
+            start[1:n] |= space[1:] & ~space[:-1]
+        apart = np.isin(points, self.apart)
+        start[:n] |= apart
+        start[1:] |= apart
+        begin = np.flatnonzero(start[:n])
+        end = np.append(begin[1:], n)[: len(begin)]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(points + np.uint64(HASH)) * _power(BASE, n), out=total[1:])
+        h = mix((total[end] - total[begin]) * _power(BACK, n)[begin])
+        _, one, index = np.unique(h, return_index=True, return_inverse=True)
+        size = (end - begin)[one]
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        cut = np.cumsum(size)
+        a = 0
+        while a < len(one):
+            b = max(a + 1, int(np.searchsorted(cut, (cut[a - 1] if a else 0) + SYMBOLS)))
+            found = self.merge_words(points[gather_runs(begin[one[a:b]], size[a:b])], size[a:b])
+            ids.append(found[0])
+            counts.append(found[1])
+            a = b
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        per = counts[index]
+        ids = ids[gather_runs((np.cumsum(counts) - counts)[index], per)]
+        ends = np.append(0, np.cumsum(per))[np.searchsorted(begin, off)]
         if eos:
-            ids = np.insert(ids, ends, self.eos)
-            off = off + np.arange(len(off))
-        if len(self.known) > KEPT_WORDS or len(self.flat) > 16 * KEPT_WORDS or len(max(fresh, key=len, default="")) > KEPT_LENGTH:
-            self._forget()
-        return ids, off
+            ids = np.insert(ids, ends[1:], self.eos)
+            ends = ends + np.arange(len(ends))
+        return ids, ends
 
     # decoding
 
@@ -364,9 +374,10 @@ def encode(text: Column, model_path: str, eos: bool = False) -> Column:
     def run(x: pa.Array) -> pa.Array:
         model = load(model_path)
         parts = []
-        for part in pieces(x):
-            ids, off = model.encode(part.to_pylist(), eos)
+        for part in pieces(x, most=TEXT):
+            ids, off = model.encode(part, eos)
             parts.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())))
+        trim()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text)
