@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -67,10 +67,10 @@ def weak_parts(text: str) -> list[Span]:
 
 def _near(a: Span, starts: list[int], ends: list[int], edges: list[int]) -> bool:
     """Whether an interval of a sorted, disjoint list is within REACH and in the scope of a."""
-    k = bisect_left(edges, a[2])
+    k = bisect_right(edges, a[1])
     low = max(a[1] - REACH, edges[k - 1] if k else 0)
     high = min(a[2] + REACH, edges[k] if k < len(edges) else a[2] + REACH)
-    i = bisect_left(ends, low)
+    i = bisect_right(ends, low)
     return i < len(starts) and starts[i] < high
 
 
