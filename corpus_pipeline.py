@@ -30,6 +30,8 @@ from tabsift.llm.common import bounded_batches, materialize, pieces, release, ta
 
 #: Scores under which a text is near no language that was learned; texts of the learned ones have 0.45 and more.
 LEAST_SCORE = 0.3
+#: Near duplicates share this percentage of their shingles of so many words.
+SIMILARITY, SHINGLE = 80, 5
 #: The column that tells rows apart inside a stage.
 ROW = "_tabsift_row"
 
@@ -43,7 +45,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    joined = materialize(jaccard_join.join(rows, key=ROW), "joined").select(F.col("doc_id").alias(ROW), "component_id")
+    joined = materialize(jaccard_join.join(rows, SIMILARITY, SHINGLE, key=ROW), "joined").select(F.col("doc_id").alias(ROW), "component_id")
     release(spark)
     named = rows.select(ROW, "doc_id").join(joined, ROW)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))

@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: documents may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 500
@@ -82,6 +83,18 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df.scratch)
 
 
+def least_hash_rows(rows: DataFrame, by: str, sample: int, key: str = "doc_id") -> DataFrame:
+    """Of each value of `by` the `sample` rows whose key has the least hash.
+
+    A filter by the counts first leaves about twice that many, so no task ranks a large group.
+    """
+    place = (F.xxhash64(key) / F.lit(2.0**64) + 0.5).alias("_place")
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))  # a row for each value
+    some = rows.select("*", place).join(F.broadcast(counts), by).where(F.col("_place") <= 2.0 * sample / F.col("_n"))
+    order = Window.partitionBy(by).orderBy("_place", key)
+    return some.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select(*rows.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, trim
+from .common import bounded_batches, least_hash_rows, trim
 
 UND = "und"
 PROFILE, SAMPLE = 400, 2000
@@ -93,8 +93,7 @@ def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Profiles:
     """Profiles from the rows (doc_id, text, lang) for which `train` holds."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(train & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("doc_id", "lang")
+    chosen = least_hash_rows(rows.select("doc_id", "lang").distinct(), "lang", sample)
     # At most `sample` rows a language are chosen, so they may be broadcast.
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
     counts = texts.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

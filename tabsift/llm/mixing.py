@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, materialize, pieces, trim
+from .common import bounded_batches, flat_bytes, least_hash_rows, materialize, pieces, trim
 from .shingles import words
 
 DOMAINS = ["clean", "poor", "toxic"]
@@ -127,16 +127,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min("domain").alias("domain")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def sample_rows(found: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` labelled documents of each domain, those of the least hash."""
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"))
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("doc_id", "domain")
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     found = labelled(docs, labels)
     total = {r.domain: r.n for r in found.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    chosen = sample_rows(found, sample)
+    chosen = least_hash_rows(found, "domain", sample)
     # At most `sample` rows of each of three domains, so these may be broadcast and collected.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("domain", "text").mapInArrow(_featured, "domain string, features binary").collect()
     rows.sort(key=lambda r: (r.domain, bytes(r.features)))

@@ -199,7 +199,7 @@ def test_pipeline_equals_plain_stages(spark, corpus):
     every = [r for r in docs.collect()]
     assert texts("language") == sorted(r.text for r in every if r.text and r.text != "12 34 !!")
     kept = [r for r in every if r.text and r.text != "12 34 !!"]
-    group, _ = jaccard_components([r.text for r in kept], 85)
+    group, _ = jaccard_components([r.text for r in kept], corpus_pipeline.SIMILARITY, corpus_pipeline.SHINGLE)
     least = {}
     for r, g in zip(kept, group):
         least[g] = min(least.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
