@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html import escape
 
-from ..plans.model import Issue, Report
+from ..plans.model import Integrity, Issue, Report
 from .clean import in_log_order
 
 #: Categories that cleaning leaves to a person.
@@ -102,9 +102,31 @@ def shown_rows(rows: list[int] | None, locale: str = "en") -> str:
     return f"{len(rows)}개 (행 {sample})" if locale == "ko" else f"{len(rows)} (rows {sample})"
 
 
+def _escaped(s: object) -> str:
+    return escape(str(s)).replace("&#x27;", "&#39;")
+
+
+def render_rules(options: Integrity, headers: list[str]) -> str:
+    """The integrity rules as HTML lists; rules that name a column the table lacks are marked."""
+    lines = [(f"{' + '.join(s.components)} = {s.total}", [*s.components, s.total]) for s in options.sum_checks]
+    lines += [(f"{b.balance} = previous {b.balance} + {b.amount}", [b.amount, b.balance]) for b in options.balance_checks]
+    lines += [(f"{r.column} in {', '.join(r.references) if isinstance(r.references, list) else r.references if isinstance(r.references, str) else 'table'}", [r.column, *([r.references] if isinstance(r.references, str) else [])]) for r in options.referential_checks]
+    items = "".join(f'<li{"" if set(names) <= set(headers) else " class=unknown"}>{_escaped(text)}</li>' for text, names in lines)
+    return f"<ul>{items}</ul>"
+
+
+def render_changes(clean, max_rows: int = 100) -> str:
+    """The first changes and removals of a cleaning as HTML."""
+    changes = in_log_order(clean.changes).limit(max_rows).collect()
+    rows = "".join(f"<tr><td>{c.row}</td><td>{_escaped(c.column_name)}</td><td><code>{_escaped(c.before)}</code></td><td><code>{_escaped(c.after)}</code></td><td>{c.fixer}</td></tr>" for c in changes)
+    more = clean.summary["cells_changed"] - len(changes)
+    removed = "".join(f"<li>{r.row} = {r.kept_row}</li>" for r in clean.removals.orderBy("row").limit(max_rows).collect())
+    return f"<table>{rows}</table>" + (f"<p>+{more}</p>" if more else "") + f"<ul>{removed}</ul>"
+
+
 def render_html(report: Report, locale: str = "en") -> str:
     """Counts and the issues by severity as HTML; all cell text is escaped."""
-    e = lambda s: escape(str(s)).replace("&#x27;", "&#39;")
+    e = _escaped
     s = report.summary
     cards = "".join(f"<li>{e(k)}: {v}</li>" for k, v in [("total", s["total_issues"]), *s["by_severity"].items(), *s["by_category"].items()])
     rows = "".join(f"<tr><td>{e(i.severity)}</td><td>{e(i.category)}</td><td><code>{e(i.type)}</code></td><td>{e(i.column_name or '-')}</td><td>{e(shown_rows(i.rows, locale))}</td><td>{e(localize(i, locale))}</td></tr>" for i in by_severity(report.issues))

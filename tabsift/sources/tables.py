@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ def number_rows(df: DataFrame, name: str = "rid") -> DataFrame:
 
     The partitions of a scan are the same whenever it runs; those behind a shuffle need not be, so such a frame is kept first.
     """
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Shuffle" in df._jdf.queryExecution().executedPlan().toString() or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
     marked = df.withColumn("_m", F.monotonically_increasing_id())
     counts = marked.groupBy(F.shiftrightunsigned("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect()  # a row for each partition
@@ -90,8 +91,6 @@ def parse_csv(spark: SparkSession, text: str, has_header: bool = True, delimiter
     if text.count('"') % 2:
         errors.append(f"Quotes: Quoted field unterminated (row {max(len(raw) - 1, 0)})")
     headers, body = headed(raw, has_header)
-    if has_header:
-        errors += [f"FieldMismatch: {'Too few' if len(r) < len(headers) else 'Too many'} fields (row {i})" for i, r in enumerate(body) if False]
     out = table_from_rows(spark, headers, body)
     out.meta = {"delimiter": delimiter, "parse_errors": errors}
     return out
@@ -144,6 +143,11 @@ def from_dataframe(df: DataFrame, rid: str | None = None) -> Table:
     return Table([f.name for f in fields], cells if rid else number_rows(cells).select("rid", *(f"c{i}" for i in range(len(fields)))))
 
 
+def cleaned_name(name: str) -> str:
+    """What a cleaned copy of a file is called."""
+    return re.sub(r"\.[^.]+$", "", name) + ".cleaned.csv"
+
+
 def quoted(cell: str, delimiter: str = ",") -> str:
     need = any(x in cell for x in (delimiter, '"', "\n", "\r", "\ufeff")) or cell[:1] == " " or cell[-1:] == " "
     return '"' + cell.replace('"', '""') + '"' if need else cell

@@ -66,6 +66,10 @@ def test_report_text(golden):
     assert "- 행: 8 → 7 (중복 1건 제거)" in text and "| 5 | order_date | `2024/01/09` | `2024-01-09` | date_format |" in text
     assert "외 2건" in render_report(golden, 2)
     assert [localize(i, "ko") for i in golden.before.issues][0] == "완전히 동일한 행 2개(중복)"
+    rules = render_rules(Integrity(sum_checks=[SumCheck(["a", "<b>"], "t")]), ["a"])
+    assert rules == "<ul><li class=unknown>a + &lt;b&gt; = t</li></ul>"
+    assert "<li>2 = 0</li>" in render_changes(golden.clean) and "<p>+3</p>" in render_changes(golden.clean, 1)
+    assert cleaned_name("a.b.csv") == "a.b.cleaned.csv"
     page = render_html(golden.before)
     assert page.index("sum_mismatch") < page.index("whitespace_format") < page.index("statistical_outlier")
 
