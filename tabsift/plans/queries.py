@@ -126,28 +126,31 @@ def whitespace_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rid", "col", S.is_blank(raw).alias("blank"), S.normalize_whitespace(raw).alias("normalized"), S.has_control_chars(raw).alias("control"), S.has_unusual_space(raw).alias("unusual"), (~S.is_blank(raw) & S.needs_whitespace_trim(raw)).alias("to_trim"))
 
 
-@query(f"WITH {PARSED} SELECT rid, col, num_s, num, num IS NOT NULL AS numeric_cell, num IS NOT NULL AND num = floor(num) AS integer_cell FROM parsed")
+@query(f"WITH {PARSED} SELECT rid, col, coalesce(num_s, '-') AS num_s, coalesce(num, 0) AS num, num IS NOT NULL AS numeric_cell, num IS NOT NULL AND coalesce(num = floor(num), false) AS integer_cell FROM parsed")
 def numeric_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
     rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
     raw = F.col("raw")
-    return rows.select("rid", "col", S.numeric_string(raw).alias("num_s"), S.parse_number(raw).alias("num"), S.looks_numeric(raw).alias("numeric_cell"), S.looks_integer(raw).alias("integer_cell"))
+    return rows.select("rid", "col", F.coalesce(S.numeric_string(raw), F.lit("-")).alias("num_s"), F.coalesce(S.parse_number(raw), F.lit(0.0)).alias("num"), S.looks_numeric(raw).alias("numeric_cell"), S.looks_integer(raw).alias("integer_cell"))
 
 
-@query(f"WITH {PARSED} SELECT rid, col, CASE WHEN lower(trimmed) IN ('true', 'yes', 'y', '1', 't') THEN true WHEN lower(trimmed) IN ('false', 'no', 'n', '0', 'f') THEN false END AS flag, type FROM parsed")
+@query(f"WITH {PARSED} SELECT rid, col, CASE WHEN lower(trimmed) IN ('true', 'yes', 'y', '1', 't') THEN 'true' WHEN lower(trimmed) IN ('false', 'no', 'n', '0', 'f') THEN 'false' ELSE '-' END AS flag, type FROM parsed")
 def type_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
     rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
-    return rows.select("rid", "col", S.parse_boolean(F.col("raw")).alias("flag"), S.infer_cell_type(F.col("raw")).alias("type"))
+    return rows.select("rid", "col", F.coalesce(S.parse_boolean(F.col("raw")).cast("string"), F.lit("-")).alias("flag"), S.infer_cell_type(F.col("raw")).alias("type"))
 
 
-@query(f"WITH {PARSED} SELECT rid, col, shape, CASE WHEN shape IS NOT NULL THEN timed END AS timed, CASE WHEN shape IS NOT NULL THEN day_first END AS day_first, CASE WHEN shape IS NOT NULL THEN month_first END AS month_first, y, m, d, CASE WHEN d IS NOT NULL AND NOT timed THEN CAST(y AS STRING) || '-' || lpad(CAST(m AS STRING), 2, '0') || '-' || lpad(CAST(d AS STRING), 2, '0') END AS iso FROM parsed")
+@query(f"WITH {PARSED} SELECT rid, col, coalesce(shape, '-') AS shape, timed, day_first, month_first, coalesce(y, 0) AS y, coalesce(m, 0) AS m, coalesce(d, 0) AS d, CASE WHEN d IS NOT NULL AND NOT timed THEN CAST(y AS STRING) || '-' || lpad(CAST(m AS STRING), 2, '0') || '-' || lpad(CAST(d AS STRING), 2, '0') ELSE '-' END AS iso FROM parsed")
 def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
     rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
     a = F.col("a")
     rows = rows.select("rid", "col", S.analyze_date(F.col("raw")).alias("a"), S.reformat_date(F.col("raw")).alias("iso"))
-    return rows.select("rid", "col", a["shape"].alias("shape"), a["has_time"].alias("timed"), a["forces_day_first"].alias("day_first"), a["forces_month_first"].alias("month_first"), a["year"].alias("y"), a["month"].alias("m"), a["day"].alias("d"), "iso")
+    flag = lambda name, to: F.coalesce(a[name], F.lit(False)).alias(to)
+    part = lambda name, to: F.coalesce(a[name], F.lit(0)).alias(to)
+    text = [F.coalesce(c, F.lit("-")).alias(n) for c, n in ((a["shape"], "shape"), (F.col("iso"), "iso"))]
+    return rows.select("rid", "col", *text, flag("has_time", "timed"), flag("forces_day_first", "day_first"), flag("forces_month_first", "month_first"), part("year", "y"), part("month", "m"), part("day", "d"))
 
 
 # profile
@@ -159,15 +162,15 @@ _NUMERIC = "ptype IN ('integer', 'decimal')"
     f"WITH {PROFILED}, sh AS (SELECT col, shape, min(rid) AS r FROM parsed WHERE shape IS NOT NULL AND NOT blank GROUP BY col, shape), so AS (SELECT col, string_agg(shape, '|' ORDER BY r) AS shapes FROM sh GROUP BY col) "
     + "SELECT prof.col, total, distinct_count, "
     + ", ".join(f"n_{t}" for t in (*TYPES, "empty"))
-    + f", ptype AS type, round(confidence, 9) AS confidence, CASE WHEN {_NUMERIC} THEN n_num END AS n, "
+    + f", ptype AS type, round(confidence, 9) AS confidence, CASE WHEN {_NUMERIC} THEN n_num ELSE 0 END AS n, "
     + ", ".join(f"CASE WHEN {_NUMERIC} THEN round({a}, 3) END AS {b}" for a, b in (("lo", "min"), ("hi", "max"), ("mean", "mean"), ("s", "sum"), ("sd", "stdev"), ("q1", "q1"), ("q2", "median"), ("q3", "q3")))
-    + ", CASE WHEN ptype = 'date' THEN shapes END AS date_formats FROM prof LEFT JOIN so ON prof.col = so.col"
+    + ", CASE WHEN ptype = 'date' THEN shapes ELSE '-' END AS date_formats FROM prof LEFT JOIN so ON prof.col = so.col"
 )
 def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C.profile_frame(C.cells(dirty(spark, sf_dir)).persist())
     numeric = F.col("type").isin("integer", "decimal")
     stat = lambda c, name: F.when(numeric, F.round(c, 3)).alias(name)
-    return p.select("col", "total", F.col("distinct").alias("distinct_count"), *(f"n_{t}" for t in (*TYPES, "empty")), "type", F.round("confidence", 9).alias("confidence"), F.when(numeric, F.col("count")).alias("n"), stat(F.col("min"), "min"), stat(F.col("max"), "max"), stat(F.col("mean"), "mean"), stat(F.col("sum"), "sum"), stat(F.col("stdev"), "stdev"), stat(F.col("q")[0], "q1"), stat(F.col("q")[1], "median"), stat(F.col("q")[2], "q3"), F.when(F.col("type") == "date", F.array_join("shapes", "|")).alias("date_formats"))
+    return p.select("col", "total", F.col("distinct").alias("distinct_count"), *(f"n_{t}" for t in (*TYPES, "empty")), "type", F.round("confidence", 9).alias("confidence"), F.when(numeric, F.col("count")).otherwise(0).alias("n"), stat(F.col("min"), "min"), stat(F.col("max"), "max"), stat(F.col("mean"), "mean"), stat(F.col("sum"), "sum"), stat(F.col("stdev"), "stdev"), stat(F.col("q")[0], "q1"), stat(F.col("q")[1], "median"), stat(F.col("q")[2], "q3"), F.when(F.col("type") == "date", F.array_join("shapes", "|")).otherwise("-").alias("date_formats"))
 
 
 # duplicates
