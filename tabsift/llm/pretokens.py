@@ -58,12 +58,14 @@ class ByteBpe:
         self.start, self.length, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Words led by a space go to the library many in one text; each begins at a token led by one."""
-        new.sort(key=lambda w: not (w[0] == " " and len(w) > 1 and w[1:].isalpha()))
-        led = next((i for i, w in enumerate(new) if not (w[0] == " " and len(w) > 1 and w[1:].isalpha())), len(new))
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        led = len(plain)
+        if led < len(new):
+            new = plain + list(set(new).difference(plain))
         ids, counts = [], []
         for part in self._whole(["".join(new[i : min(i + 500, led)]) for i in range(0, led, 500)]):
             ids.append(part)
