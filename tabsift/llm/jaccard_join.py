@@ -48,6 +48,8 @@ AT_ONCE = 250_000
 #: Pairs across components at one prefix shingle, over which its groups are compared in blocks; classes
 #: and shingles of a block, and the columns of its matrix that are compared at once.
 CROSSING, BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 256, 400_000, 4096
+#: Rows of packs in an Arrow batch.
+PACKS = 64
 #: flush: task and number of a pack; part: hash range; kind: 0 shared inside the pack, 1 single, 2 the pack's own table
 PACK = "part int, flush long, kind int, hashes binary, counts binary, docs binary, sig binary"
 PACKED = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hashes", "counts", "docs", "sig"))])
@@ -129,6 +131,23 @@ def _binary(rows: pa.Table, i: int, column: str) -> pa.Buffer:
     return rows.column(column)[i].as_buffer()
 
 
+def _each(column: str, handle):
+    """Apply handle to the rows of each key of a partition. The partition, which holds whole keys, is gathered
+    here in small batches, so that the JVM neither sorts the packs nor holds a key's rows as one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            keys = batch.column(column).to_numpy()
+            for k in np.unique(keys).tolist():
+                held.setdefault(k, []).append(batch.filter(pa.array(keys == k)))
+        while held:
+            yield from handle(pa.Table.from_batches(held.popitem()[1])).to_batches(max_chunksize=PACKS)
+        trim()
+
+    return run
+
+
 def _frequencies(rows: pa.Table) -> pa.Table:
     """Of one hash range: back to each pack its shingles that two classes share, with their frequency."""
     trim()
@@ -373,9 +392,10 @@ def join(docs: DataFrame, percent: int = 85, width: int = 4, key: str = "doc_id"
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
     parts = input_parts(docs, least=64, most=40_000, each=2)
     packed = docs.where("doc_id is not null").mapInArrow(_packs(width, parts), PACK)
-    counted = packed.repartition(parts, "part").groupBy("part").applyInArrow(_frequencies, PACK)
-    left = counted.groupBy("flush").applyInArrow(_survivors(percent), "s1 long, s2 long, n long, shared array<long>")
-    left = materialize(left, "survivors").dropDuplicates(["s1", "s2"])
+    counted = packed.repartition(parts, "part").mapInArrow(_each("part", _frequencies), PACK)
+    left = counted.repartition(parts, "flush").mapInArrow(_each("flush", _survivors(percent)), "s1 long, s2 long, n long, shared array<long>")
+    with batch_rows(spark, PACKS):
+        left = materialize(left, "survivors").dropDuplicates(["s1", "s2"])
     sets = materialize(left.join(classes, ["s1", "s2"]).select("id", "n", "shared"), "sets")
     linked = materialize(link_classes(sets, percent), "components")
     named = classes.join(linked, "id", "left").select("s1", "s2", F.col("id").alias("class_id"), "component")
