@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -76,7 +76,7 @@ def _near(a: Span, starts: list[int], ends: list[int], edges: list[int]) -> bool
 
 def link(base: list[Span], weak: list[Span], edges: list[int]) -> list[Span]:
     """The weak parts with a complement in their scope."""
-    weak = [w for w in weak if not any(b[1] < w[2] and w[1] < b[2] for b in base)] if len(base) < 50 else _apart(weak, base)
+    weak = _apart(weak, base)
 
     def sides(*kinds: str) -> tuple[list[int], list[int]]:
         rows = sorted((s[1], s[2]) for s in base + weak if s[0] in kinds)
@@ -96,6 +96,7 @@ def link(base: list[Span], weak: list[Span], edges: list[int]) -> list[Span]:
 
 
 def _apart(weak: list[Span], base: list[Span]) -> list[Span]:
+    """The weak parts that overlap no base span."""
     rows = sorted((b[1], b[2]) for b in base)
     ends, top = [], 0
     for _, e in rows:
