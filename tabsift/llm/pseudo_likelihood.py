@@ -6,7 +6,8 @@ offset embeddings are added and squashed, then a class and a word within the cla
 
 Words are counted over the whole corpus; the most frequent ones are the vocabulary, the others share
 hashed entries, and the counts are the network's first biases. Training is distributed: in each
-round every task runs numpy SGD from the shared parameters over windows of all its documents, and
+round every task runs numpy SGD from the shared parameters over its share of the windows of all its
+documents (the rounds together take every window once), and
 the tasks' parameters are averaged in groups, weighted by their windows, before they reach the
 driver as one set of fixed size.
 
@@ -33,8 +34,8 @@ from .shingles import words
 CLASSES, EACH, HASHED, SIDE, WIDTH = 32, 64, 48, 2, 16
 SIZE = CLASSES * EACH
 VOCABULARY = SIZE - HASHED
-#: Rounds of training; of each document every STRIDE-th window trains; rows of a step; learning rate.
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 2048, 0.08
+#: Rounds of training, which together train every window once; rows of a step; learning rate.
+ROUNDS, BATCH, RATE = 2, 2048, 0.08
 TEXT = 1 << 19
 
 
@@ -116,28 +117,32 @@ def log_probabilities(net: Network, token: np.ndarray, around: np.ndarray) -> np
     return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
+
+
 def train_step(net: Network, token: np.ndarray, around: np.ndarray, rate: float) -> None:
     n = len(token)
+    order = np.argsort(token // EACH, kind="stable")
+    token, around = token[order], around[:, order]
     h = _hidden(net, around)
+    one = np.concatenate([h, np.ones((n, 1), np.float32)], 1)  # the last input is the bias
     group, place = token // EACH, token % EACH
-    g = np.exp(_log_softmax(h @ net.classes[:-1] + net.classes[-1]))
+    g = _softmax(one @ net.classes)
     g[np.arange(n), group] -= 1
     back = g @ net.classes[:-1].T
-    net.classes[:-1] -= rate / n * (h.T @ g)
-    net.classes[-1] -= rate / n * g.sum(0)
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
-            g = np.exp(_log_softmax(h[rows] @ net.inner[c, :-1] + net.inner[c, -1]))
-            g[np.arange(len(rows)), place[rows]] -= 1
-            back[rows] += g @ net.inner[c, :-1].T
-            net.inner[c, :-1] -= rate * CLASSES / n * (h[rows].T @ g)
-            net.inner[c, -1] -= rate * CLASSES / n * g.sum(0)
-    back *= 1 - h * h
+    net.classes -= np.float32(rate / n) * (one.T @ g)
+    edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    for c, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if i < j:
+            g = _softmax(one[i:j] @ net.inner[c])
+            g[np.arange(j - i), place[i:j]] -= 1
+            back[i:j] += g @ net.inner[c, :-1].T
+            net.inner[c] -= np.float32(rate * CLASSES / n) * (one[i:j].T @ g)
+    back *= (1 - h * h) * np.float32(rate * 8 / math.sqrt(n))
     for k in range(len(around)):
-        np.subtract.at(net.embed[k], around[k], np.float32(rate * 8 / math.sqrt(n)) * back)
+        np.subtract.at(net.embed[k].reshape(-1), (around[k][:, None] * WIDTH + np.arange(WIDTH)).ravel(), back.ravel())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +166,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _trained(net: Network, round_: int):
+def in_round(h: np.ndarray, off: np.ndarray, round_: int, rounds: int) -> np.ndarray:
+    """The words whose windows train in a round: each word of a text in one of the rounds."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    begin = h[np.minimum(off[:-1], len(h) - 1)] % np.uint64(rounds)  # each text has its own first window
+    return np.flatnonzero((np.arange(len(h)) - off[row] + begin[row].astype(np.int64)) % rounds == round_)
+
+
+def _trained(net: Network, round_: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         token, around, seen = [], [], 0
@@ -181,9 +193,7 @@ def _trained(net: Network, round_: int):
                 if not len(h):
                     continue
                 t = net.tokens(h)
-                row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                begin = h[np.minimum(off[:-1], len(h) - 1)] % np.uint64(STRIDE)  # each text has its own first window
-                use = (np.arange(len(t)) - off[row] + begin[row].astype(np.int64) + round_ * (STRIDE // 2)) % STRIDE == 0
+                use = in_round(h, off, round_, rounds)
                 token.append(t[use])
                 around.append(contexts(t, off)[:, use])
                 if sum(map(len, token)) >= 4 * BATCH:
@@ -214,7 +224,7 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     row = "task int, weight double, flat binary"
     groups = math.isqrt(input_parts(docs)) + 1
     for k in range(rounds):
-        parts = docs.select("text").mapInArrow(_trained(net, k), row)
+        parts = docs.select("text").mapInArrow(_trained(net, k, rounds), row)
         some = parts.groupBy((F.col("task") % groups).alias("g")).applyInPandas(_mean, row)
         done = some.groupBy(F.lit(0).alias("g")).applyInPandas(_mean, row).collect()
         if done:

@@ -307,6 +307,16 @@ def test_probabilities_sum_to_one_and_gradients_descend():
     assert pseudo_likelihood.log_probabilities(net, token, around).sum() > before
 
 
+def test_rounds_train_every_window(spark):
+    docs = documents(spark, [(i, " ".join(f"w{i}x{k}" for k in range(i * 7 % 50))) for i in range(60)] + [(None, None), (100, "")])
+    r, want = pseudo_likelihood.ROUNDS, sum(i * 7 % 50 for i in range(60))
+    net = pseudo_likelihood.start([], 0)
+    weights = [sum(x.weight for x in docs.select("text").mapInArrow(pseudo_likelihood._trained(net, *at), "task int, weight double, flat binary").collect()) for at in zip(range(r), [r] * r)]
+    assert sum(weights) == want
+    h, off = pseudo_likelihood.words(pa.array(["a b c d e", "", "f g h", "i"]))
+    assert sorted(i for k in range(r) for i in pseudo_likelihood.in_round(h, off, k, r)) == list(range(9))
+
+
 # TIFF
 
 
