@@ -4,8 +4,12 @@ A bidirectional window network predicts every token from the SIDE tokens on both
 offset embeddings are added and squashed, then a class and a word within the class are predicted
 (a two-level softmax). A document's score is the sum of the log-probabilities of its tokens.
 
-Words are counted over the whole corpus; the most frequent ones are the vocabulary, the others share
-hashed entries, and the counts are the network's first biases. Training is distributed: in each
+Words are counted over the whole corpus. The most frequent ones are the network's vocabulary, the
+others share hashed entries, and the counts are the network's first biases. A word of an entry has
+the entry's probability times its own share there: its count in the corpus over the entry's count
+and 1, which is left for all unseen words together. These counts follow the corpus and reach no
+driver: scan tasks pack their distinct words by hash range, a range's task adds them up and sends
+the sums back to the packs. Training is distributed: in each
 round every task runs numpy SGD from the shared parameters over its share of the windows of all its
 documents (the rounds together take every window once), and
 the tasks' parameters are averaged in groups, weighted by their windows, before they reach the
@@ -25,10 +29,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, input_parts, pieces, trim
+from .common import bounded_batches, input_parts, materialize, pieces, squeeze, trim, unsqueeze
+from .jaccard_join import _each
 from .shingles import words
 
 CLASSES, EACH, HASHED, SIDE, WIDTH = 32, 64, 48, 2, 16
@@ -37,6 +42,12 @@ VOCABULARY = SIZE - HASHED
 #: Rounds of training, which together train every window once; rows of a step; learning rate.
 ROUNDS, BATCH, RATE = 2, 2048, 0.08
 TEXT = 1 << 19
+#: Words and documents that a scan task packs together at most (but for a single longer slice).
+FLUSH, FLUSH_ROWS = 1_000_000, 60_000
+#: kind: 0 words of a hash range and their counts, 1 the pack's own table of documents
+PACK = "part int, pack long, kind int, words binary, counts binary, docs binary"
+PACKED = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("words", "counts", "docs"))])
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
 
 
 @dataclass
@@ -46,6 +57,7 @@ class Network:
     embed: np.ndarray  # offsets x (SIZE + 1) x WIDTH; the last row is the edge of a text
     classes: np.ndarray  # WIDTH + 1 x CLASSES, the last row is the bias
     inner: np.ndarray  # CLASSES x WIDTH + 1 x EACH
+    rest: np.ndarray  # the corpus count of all words of each hashed entry
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
@@ -61,19 +73,20 @@ class Network:
             flat = flat[x.size :]
 
 
-def start(counts: list[tuple[int, int]], rest: int) -> Network:
-    """A network whose biases are the words' counts: (hash, count) by frequency, and all other words' count."""
+def start(counts: list[tuple[int, int]], rest: int | np.ndarray) -> Network:
+    """A network whose biases are the words' counts: (hash, count) by frequency, and all other words' count, in all or by entry."""
+    rest = np.full(HASHED, rest / HASHED) if np.ndim(rest) == 0 else rest
     r = np.random.default_rng(3)
     unigram = np.full(SIZE, 1.0)
     unigram[: len(counts)] += [c for _, c in counts]
-    unigram[VOCABULARY:] += rest / HASHED
+    unigram[VOCABULARY:] += rest
     by_class = unigram.reshape(CLASSES, EACH)
     h = np.array([c[0] for c in counts], np.int64).view(np.uint64)
     order = np.argsort(h)
     embed = r.normal(0, 0.1, (2 * SIDE, SIZE + 1, WIDTH)).astype(np.float32)
     classes = np.concatenate([r.normal(0, 0.1, (WIDTH, CLASSES)), np.log(by_class.sum(1) / unigram.sum())[None]]).astype(np.float32)
     inner = np.concatenate([r.normal(0, 0.1, (CLASSES, WIDTH, EACH)), np.log(by_class / by_class.sum(1, keepdims=True))[:, None]], 1).astype(np.float32)
-    return Network(h[order], order, embed, classes, inner)
+    return Network(h[order], order, embed, classes, inner, rest)
 
 
 def contexts(token: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -217,10 +230,14 @@ def _mean(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    counts = docs.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    marked = counts.select("h", "n").orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
-    total = docs.select("text").mapInArrow(_totals, "n long").agg(F.sum("n")).first()[0] or 0
-    net = start([(r.h, r.n) for r in marked], total - sum(r.n for r in marked))
+    counts = materialize(docs.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    marked = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
+    rest = np.zeros(HASHED)
+    for r in counts.groupBy(_entry(F.col("h")).alias("entry")).agg(F.sum("n").alias("n")).collect():
+        rest[r.entry] = r.n
+    for r in marked:
+        rest[r.h % 2**64 % HASHED] -= r.n
+    net = start([(r.h, r.n) for r in marked], rest)
     row = "task int, weight double, flat binary"
     groups = math.isqrt(input_parts(docs)) + 1
     for k in range(rounds):
@@ -232,31 +249,85 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     return net
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = 0
-    for batch in batches:
-        for part in pieces(batch, "text", TEXT):
-            n += len(words(part.column("text"))[0])
-    yield pa.RecordBatch.from_pydict({"n": [n]})
+def _entry(h: Column) -> Column:
+    """The hashed entry of a word's hash, which is unsigned."""
+    return F.pmod(F.pmod(h, F.lit(HASHED)) + F.when(h < 0, 2**64 % HASHED).otherwise(0), F.lit(HASHED))
+
 
+def _scored(net: Network, parts: int):
+    """Packs of scored documents, without the counts of the words of hashed entries, and of these words by hash range."""
+    cuts = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+
+    def pack(held: list, number: int) -> pa.RecordBatch:
+        doc, n, total, rare, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, index, count = np.unique(h, return_inverse=True, return_counts=True)
+        edges = [0, *np.searchsorted(value, cuts).tolist(), len(value)]
+        out = [(p, number, 0, squeeze(value[a:b]), count[a:b].astype(np.int64).tobytes(), b"") for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        table = np.concatenate([np.array([len(n)]), doc[:, 0], doc[:, 1], n, total.view(np.int64), rare])
+        out.append((number % parts, number, 1, b"", index.astype(np.uint32).tobytes(), table.astype(np.int64).tobytes()))
+        return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in out], PACKED)
 
-def _scored(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        size = rows = 0
         for batch in batches:
             for part in pieces(batch, "text", TEXT):
                 h, off = words(part.column("text"))
                 t = net.tokens(h)
                 lp = log_probabilities(net, t, contexts(t, off))
-                total = np.append(0, np.cumsum(lp))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]])], ["doc_id", "n_tokens", "log_likelihood"])
+                other = t >= VOCABULARY
+                lp[other] -= np.log(net.rest[t[other] - VOCABULARY] + 1)
+                total, rare = np.append(0, np.cumsum(lp)), np.append(0, np.cumsum(other))
+                ids = part.column("doc_id")
+                doc = np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().cast(pa.int64()).to_numpy()], 1)
+                held.append((doc, np.diff(off), total[off[1:]] - total[off[:-1]], rare[off[1:]] - rare[off[:-1]], h[other]))
+                size, rows = size + int(rare[-1]), rows + len(doc)
+                if size >= FLUSH or rows >= FLUSH_ROWS:
+                    yield pack(held, (task << 32) + number)
+                    held, size, rows, number = [], 0, 0, number + 1
+        if held:
+            yield pack(held, (task << 32) + number)
         trim()
 
     return run
 
 
+def _sums(rows: pa.Table) -> pa.Table:
+    """Of one hash range: back to each pack its words' counts in all packs."""
+    rows = rows.combine_chunks()
+    kind, part, number, value, count = (rows.column(c).to_pylist() for c in ("kind", "part", "pack", "words", "counts"))
+    at = [i for i, k in enumerate(kind) if k == 0]
+    out = []
+    if at:
+        each = [unsqueeze(value[i]) for i in at]
+        _, index = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(index, np.concatenate([np.frombuffer(count[i], np.int64) for i in at])).astype(np.int64)[index]
+        ends = np.cumsum([len(v) for v in each]).tolist()
+        out = [(part[i], number[i], 0, b"", total[e - len(v) : e].tobytes(), b"") for i, v, e in zip(at, each, ends, strict=True)]
+    found = pa.Table.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in out], PACKED)
+    return pa.concat_tables([found, rows.filter(pa.array([k == 1 for k in kind], pa.bool_())).cast(PACKED)])
+
+
+def _finished(rows: pa.Table) -> pa.Table:
+    """Of one pack: its documents, with the words' counts in their scores."""
+    kind, part, count = (rows.column(c).to_pylist() for c in ("kind", "part", "counts"))
+    head = kind.index(1)
+    table = np.frombuffer(rows.column("docs")[head].as_buffer(), np.int64)
+    doc, valid, n, total, rare = table[1:].reshape(5, table[0])
+    ranges = sorted((p, i) for i, (k, p) in enumerate(zip(kind, part, strict=True)) if k == 0)
+    logs = np.log(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(count[i], np.int64) for _, i in ranges)]))
+    more = np.append(0, np.cumsum(logs[np.frombuffer(count[head], np.uint32)]))
+    off = np.append(0, np.cumsum(rare))
+    return pa.Table.from_arrays([pa.array(doc, mask=valid == 0), pa.array(n), pa.array(total.view(np.float64) + more[off[1:]] - more[off[:-1]])], schema=SCORES)
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every whole text."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = docs.mapInArrow(_scored(learn(docs, rounds)), "doc_id long, n_tokens long, log_likelihood double")
+    parts = input_parts(docs, least=64, most=40_000, each=2)
+    packed = docs.mapInArrow(_scored(learn(docs, rounds), parts), PACK)
+    summed = packed.repartition(parts, "part").mapInArrow(_each("part", _sums), PACK)
+    scored = summed.repartition(parts, "pack").mapInArrow(_each("pack", _finished), "doc_id long, n_tokens long, log_likelihood double")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

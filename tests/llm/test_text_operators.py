@@ -317,6 +317,30 @@ def test_rounds_train_every_window(spark):
     assert sorted(i for k in range(r) for i in pseudo_likelihood.in_round(h, off, k, r)) == list(range(9))
 
 
+def test_words_of_an_entry_score_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "FLUSH", 300)  # so that there are many packs
+    r = random.Random(4)
+    rows = [(i, " ".join(f"v{r.randrange(2000)}" for _ in range(200))) for i in range(60)] + [(i, " ".join(f"r{r.randrange(10)}" for _ in range(9))) for i in range(60, 70)] + [(70, "once"), (None, "r1 r1"), (None, None), (72, "")]
+    rows += [(100 + i, " ".join(f"v{k}" for k in range(2000))) for i in range(30)]
+    docs = documents(spark, rows).repartition(4)
+    net = pseudo_likelihood.learn(docs)
+    monkeypatch.setattr(pseudo_likelihood, "learn", lambda *a: net)
+    all_ = np.concatenate([pseudo_likelihood.words(pa.array([t]))[0] for _, t in rows if t])
+    value, count = np.unique(all_, return_counts=True)
+    corpus = dict(zip(value.tolist(), count.tolist()))
+    assert net.rest.sum() == sum(n for h, n in corpus.items() if net.tokens(np.array([h], np.uint64))[0] >= pseudo_likelihood.VOCABULARY) > 50
+    want = []
+    for i, t in rows:
+        h, off = pseudo_likelihood.words(pa.array([t], pa.string()))
+        token = net.tokens(h)
+        lp = pseudo_likelihood.log_probabilities(net, token, pseudo_likelihood.contexts(token, off)).sum()
+        lp += sum(np.log(corpus[w] / (net.rest[k - pseudo_likelihood.VOCABULARY] + 1)) for w, k in zip(h.tolist(), token.tolist()) if k >= pseudo_likelihood.VOCABULARY)
+        want.append((-1 if i is None else i, len(h), float(lp)))
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_tokens, x.log_likelihood) for x in pseudo_likelihood.score(docs).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], rel=1e-4, abs=1e-3)
+
+
 # TIFF
 
 
