@@ -363,7 +363,10 @@ def _dense_links(lists: DataFrame, of_member: DataFrame, sets: DataFrame, percen
     spark = lists.sparkSession
     hub = lists.groupBy("token").agg(F.min("gid").alias("a"))
     edges = materialize(lists.select("token", F.col("gid").alias("b")).join(hub, "token").select("a", "b").distinct(), "links")
-    family = materialize(components(edges).select(F.col("id").alias("gid"), F.col("component").alias("family")), "families")
+    family = components(edges).select(F.col("id").alias("gid"), F.col("component").alias("family"))
+    # A group that is alone at its shingles has no link to another one: it is a family of its own.
+    family = lists.select("gid").distinct().join(family, "gid", "left").select("gid", F.coalesce("family", "gid").alias("family"))
+    family = materialize(family, "families")
     rows = of_member.join(family, "gid").select("id", "c", "family").join(sets, "id").select("family", "c", "id", "n", "shared")
     order = ["family", "c", "id"]
     parts = input_parts(lists, least=8)

@@ -105,6 +105,14 @@ def test_join_edges(spark):
     assert sorted(((r.doc_id or -1), r.component_id or -1) for r in got) == [(-1, -1), (4, 4), (4, 4), (9, 4)]
 
 
+def test_lone_group_unlinked_to_its_first(spark):
+    head, body, other = [1, 2, 3], list(range(10, 26)), list(range(30, 46))  # 20 shingles each, one of them shared with none
+    rows = [(0, 20, head + other)] + [(i, 20, head + body) for i in range(1, 60)]
+    sets = spark.createDataFrame(rows, "id long, n long, shared array<long>")
+    assert 59 * 60 / 2 > jaccard_join.CROSSING
+    assert {r.id: r.component for r in jaccard_join.link_classes(sets, 85).collect()} == dict.fromkeys(range(1, 60), 1)
+
+
 def test_overlaps_in_blocks():
     r = np.random.default_rng(2)
     sets = [r.choice(9000, r.integers(0, 3000), replace=False) for _ in range(12)]
