@@ -9,7 +9,8 @@ doc_id, so null and repeated ids are rows like others.
 - near duplicates: of each group of linked texts the row of the least doc_id stays; a row without
   words is linked with nothing and stays.
 - personal data: spans become their kind's name, and n_chars follows the text.
-- mixture: a row is there as many times as its rate, rounded.
+- mixture: a row is there as many times as its rate, rounded up or down by a hash of its text and
+  doc_id, so that expected tokens follow the rates.
 - tokens: ids with an end id, their number, and a hash of the text that they decode to.
 
 An empty table passes through all stages.
@@ -73,15 +74,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     model, rates = mixing.fitted(docs, table(spark, sf_dir, "labels"))
 
-    def copies(text: pa.Array) -> pa.Array:
+    def copies(text: pa.Array, u: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
         for part in pieces(text, None, mixing.TEXT):
             number, off, _ = mixing.features(part)
-            out.append(np.floor(rates(model.posteriors(number, off))[0] + 0.5))
+            out.append(rates(model.posteriors(number, off))[0])
         trim()
-        return pa.array(np.concatenate(out).astype(np.int32))
+        return pa.array(np.floor(np.concatenate(out) + u.to_numpy()).astype(np.int32))
 
-    some = docs.withColumn(ROW, F.arrow_udf(copies, "int")("text")).where(F.col(ROW) > 0)
+    u = F.shiftrightunsigned(F.xxhash64("text", "doc_id"), 11) / F.lit(2.0**53)  # in [0, 1)
+    some = docs.withColumn(ROW, F.arrow_udf(copies, "int")("text", u)).where(F.col(ROW) > 0)
     return some.withColumn(ROW, F.explode(F.sequence(F.lit(1), ROW))).select(*docs.columns)
 
 

@@ -221,6 +221,16 @@ def test_pipeline_equals_plain_stages(spark, corpus):
     assert sorted(map(str, out["tokens"])) == sorted(map(str, corpus_pipeline.run(spark, corpus).collect()))
 
 
+def test_mixture_meets_token_shares(spark, tmp_path):
+    r = random.Random(3)
+    kinds = (["good", "fine", "clear"], ["spam", "click", "buy"], ["awful", "idiot", "trash"])
+    kind = [r.choices(range(3), (77, 11, 12))[0] for _ in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(kinds[k] + ["the", "a", "of"]) for _ in range(30))) for i, k in enumerate(kind)], "doc_id long, text string")
+    spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kind)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = [kind[x.doc_id] for x in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()]
+    assert np.bincount(kept, minlength=3) / len(kept) == pytest.approx([0.93, 0.04, 0.03], abs=0.012)
+
+
 def test_stages_take_empty_tables(spark, corpus):
     none = spark.read.parquet(f"{corpus}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
