@@ -3,7 +3,8 @@
 A softmax classifier over hashed words and a few style bins, trained in numpy on a bounded sample of
 the labelled table, gives every document a posterior over domains. Nonnegative document rates,
 all 1 at first, are then fitted by projected gradient least squares so that the expected tokens of
-each domain (rate x tokens x posterior, summed over all documents) match its target. The driver
+each domain (rate x tokens x posterior, summed over all documents) match its target; steps go on until
+they do, and targets that cannot be met are reported by a warning. The driver
 holds only a vector of domains for each step; a document's rate follows from its posterior and those
 vectors, so every step is one scan with a sum and no step writes anything.
 
@@ -14,6 +15,7 @@ nothing; of several labels of a doc_id the least counts. Repeated rows are docum
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +35,9 @@ SHARED = 10
 BINS = 8
 #: Target shares of the mixture's tokens. The domain with the largest share keeps its tokens.
 TARGETS = {"clean": 0.93, "poor": 0.04, "toxic": 0.03}
-STEPS, TOLERANCE = 60, 1e-4
+TOLERANCE = 1e-4
+#: The fit ends unmet, with a warning, where so many steps lower the weighted residual by less than a thousandth.
+PATIENCE = 50
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -191,7 +195,7 @@ def _sums(rates: Rates, k: int, second: bool):
     return run
 
 
-def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS) -> Rates:
+def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float]) -> Rates:
     k = len(names)
     share = np.array([targets.get(d, 0.0) for d in names])
     rates = Rates()
@@ -207,12 +211,19 @@ def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float], st
     anchor = int(np.argmax(share))
     target = share / share[anchor] * have[anchor]
     scale = have.sum()
-    rates.step = 1 / max(float(np.linalg.eigvalsh(product / scale).max()), 1e-12)
-    ahead = have
-    for _ in range(steps):
-        if np.abs(have - target).max() <= TOLERANCE * scale:
+    # Residuals are weighted by the inverse of the products, so that rare domains converge like large ones.
+    value, vector = np.linalg.eigh(product / scale)
+    weight = (vector / np.maximum(value, 1e-9 * value.max())) @ vector.T
+    near = TOLERANCE * min(scale, target.sum())
+    ahead, best, since = have, np.inf, 0
+    while np.abs(have - target).max() > near:
+        off = (have - target) / scale
+        size = off @ weight @ off
+        best, since = (size, 0) if size < 0.999 * best else (best, since + 1)
+        if since >= PATIENCE:
+            warnings.warn(f"no rates were found that meet the targets: tokens {dict(zip(names, have.tolist(), strict=True))}, targets {dict(zip(names, target.tolist(), strict=True))}", stacklevel=2)
             break
-        rates.gradients.append((ahead - target) / scale)
+        rates.gradients.append(weight @ (ahead - target) / scale)
         now = sums()
         have, ahead = now[:k], now[k:]
     return rates

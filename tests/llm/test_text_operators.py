@@ -263,6 +263,21 @@ def test_rates_equal_plain_projected_gradient():
     assert rates(p)[0] == pytest.approx(x)
 
 
+def test_skewed_corpora_meet_targets_or_warn(spark):
+    eye = np.eye(3).tolist()
+
+    def fitted(tokens, posteriors):
+        rows = spark.createDataFrame(list(zip(tokens, posteriors)), "n_tokens long, posterior array<double>").coalesce(1)
+        p, n = np.array(posteriors), np.array(tokens)
+        return (mixing.fit_rates(rows, mixing.DOMAINS, mixing.TARGETS)(p)[0] * n) @ p
+
+    for tokens in ([99800, 100, 100], [93000, 6980, 20]):
+        total = fitted(tokens, eye)
+        assert total / total.sum() == pytest.approx([0.93, 0.04, 0.03], abs=3e-4)
+    with pytest.warns(UserWarning, match="no rates"):
+        fitted([100], [[0.5, 0.25, 0.25]])
+
+
 def test_mixing_edges(spark):
     docs, labels = labelled_rows(spark, 60)
     odd = documents(spark, [(None, None), (1, ""), (1, "good good"), (1, "good good")])
