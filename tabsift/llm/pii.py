@@ -6,7 +6,11 @@ numpy on generated examples, judge each by its format and by the words beside it
 each kind, calibrated on held-out examples, selects the spans. Exact base rules (mail, IPv4, card,
 phone) run first; their spans always stay and no candidate may overlap them.
 
-Nulls and empty texts have no spans. All work is within a row; repeated rows give equal results.
+Nulls and empty texts have no spans, an empty table gives an empty one. All work is within a row and
+grows with the length of its text and the sorting of its candidates; repeated rows give equal
+results. Of overlapping candidates the one with the greatest margin stays; ties: the one that starts
+first, then the kind that comes first. Only the key and the text of a table are read, so further
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from __future__ import annotations
 import functools
 import re
 import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -191,9 +197,6 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     def word() -> str:
         return "".join(r.choice(list("abcdefghilmnoprstuv"), r.integers(2, 9)))
 
-    def check_digits(s: str) -> str:
-        return f"{98 - int(''.join(str(int(c, 36)) for c in s + pick('DE', 'FR', 'ES')) + '00') % 97:02d}"
-
     out = []
     plain = lambda: " ".join(word() for _ in range(r.integers(2, 6)))
     while len(out) < n:
@@ -253,21 +256,25 @@ def select(text: str, base: list[Span], trees: list, cut: dict[str, float]) -> l
         return []
     taken = sorted((s[1], s[2]) for s in base)
     starts = [t[0] for t in taken]
+    tops = list(accumulate((t[1] for t in taken), max))  # base spans of different kinds may nest
 
     def free(a: int, b: int) -> bool:
-        i = int(np.searchsorted(starts, b))
-        return not any(e > a for _, e in taken[max(0, i - 4) : i])
+        i = bisect_left(starts, b)
+        return not i or tops[i - 1] <= a
 
     found = [c for c in found if free(c[1], c[2])]
     if not found:
         return []
     m = margins(trees, np.array([features(text, *c) for c in found]))
-    ranked = sorted(((float(s), c) for s, c in zip(m, found, strict=True) if s >= cut[c[0]]), key=lambda z: (-z[0], z[1][1]))
+    ranked = sorted(((float(s), c) for s, c in zip(m, found, strict=True) if s >= cut[c[0]]), key=lambda z: (-z[0], z[1][1], ORDER[z[1][0]]))
     out: list[Span] = []
-    used: list[tuple[int, int]] = []
+    begins: list[int] = []  # the chosen spans are apart, so both lists ascend
+    ends: list[int] = []
     for _, (k, a, b) in ranked:
-        if not any(x < b and a < y for x, y in used):
-            used.append((a, b))
+        i = bisect_left(begins, b)
+        if not i or ends[i - 1] <= a:
+            begins.insert(i, a)
+            ends.insert(i, b)
             out.append((k, a, b, False))
     return out
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -188,6 +189,32 @@ def test_boosted_candidates():
     assert y[chosen].mean() > 0.97 and chosen[y == 1].mean() > 0.6
 
 
+def test_selection_equals_brute_force():
+    find, r = pii.Finder(), random.Random(11)
+    parts = ["call (415) 555-0132", "1.2.3.4", "phone 020 7946 0958", "a.1.2.3.4.5.6.7.8@mail.example.com", "+1 (415) 555-0132", "card 4111 1111 1111 1112", "ssn 078-05-1120", "iban DE89370400440532013000", "415-555-0132.4012888888881881", "words", "host fe80:1:2:3:4:5:6:7"]
+    nested = f"{'.'.join(['10.20.30.40'] * 6)}.555.123.4567@mail.example.com"
+    for t in [nested, *(r.choice([" ", ", ", "", "\n"]).join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(150))]:
+        base = pii.base_spans(t)
+        free = [c for c in pii.candidates(t) if not any(a < c[2] and c[1] < b for _, a, b, _ in base)]
+        m = pii.margins(find.trees, np.array([pii.features(t, *c) for c in free]).reshape(len(free), -1)) if free else []
+        want = []
+        for s, c in sorted(zip(m, free), key=lambda z: (-z[0], z[1][1], pii.ORDER[z[1][0]])):
+            if s >= find.cut[c[0]] and not any(a < c[2] and c[1] < b for _, a, b, _ in want):
+                want.append((*c, False))
+        assert pii.select(t, base, find.trees, find.cut) == want
+    assert len(pii.base_spans(nested)) > 5 and pii.select(nested, pii.base_spans(nested), find.trees, find.cut) == []
+
+
+def test_dense_candidates_take_time_by_their_number():
+    find, took = pii.Finder(), []
+    for n in (5_000, 40_000):
+        t = "call 415-555-0132 or " * n
+        began = time.process_time()
+        assert len(find(t)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1  # eight times the text; a square would be 64
+
+
 def test_span_digests(spark):
     rows = [(1, None), (2, ""), (3, "é a@b.co 4111 1111 1111 1111"), (3, "é a@b.co 4111 1111 1111 1111"), (None, "+1 (743) 555-3824")]
     got = spans.digests(pii.scan(documents(spark, rows, ", spans int")), pii.KINDS).collect()
