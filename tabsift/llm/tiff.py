@@ -1,27 +1,31 @@
 """TIFF as a media column: text bytes stored as image pages, and a reader with a row per page.
 
 The reader walks the chain of image directories of either byte order and decodes strips and tiles,
-uncompressed, PackBits, LZW or deflate, undoes the horizontal predictor and emits each page's
-samples. The writer stores a payload of 8-bit samples in pages WIDTH wide and at most HEIGHT high:
-a page of one row in PackBits strips, a page of less than TILED rows in deflate strips, a larger
-one in deflate tiles, the deflated ones with the predictor.
-
-A null or empty text is one row of padding. All work is within a row of the table; repeated rows
-give equal media. Reading raises ValueError for a file that is no TIFF or is cut short.
+uncompressed, PackBits, LZW or deflate, undoes the horizontal predictor and emits a row for each
+page. The writer stores a payload of 8-bit samples in pages WIDTH wide and at most HEIGHT high: a
+page of one row in PackBits strips, one of two rows in LZW strips, one of less than TILED rows in
+deflate strips, a larger one in deflate tiles; all but the first with the predictor. Digests are
+folded from the stream of page rows, so a file of any number of pages is never held whole there.
+
+A null or empty text is one row of padding, an empty table has no pages. All work is within a row of
+the table; repeated rows give equal media. A file that is no TIFF, is cut short or damaged gives the
+pages before the damage and then one row with a null page and the error; a null file gives one row
+with neither. Further columns of a table may have any name: only the named ones are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trim
 
 WIDTH, HEIGHT, TILED, STRIP, TILE = 576, 1024, 256, 32, (192, 64)
 #: Tag numbers and values of the format.
@@ -220,7 +224,7 @@ def store_bytes(data: bytes) -> bytes:
     flat[: len(data)] = np.frombuffer(data, np.uint8)
     rows = flat.reshape(-1, WIDTH)
     pages = [rows[i : i + HEIGHT] for i in range(0, len(rows), HEIGHT)]
-    return write_pages(pages, [PACKBITS if len(p) == 1 else DEFLATE for p in pages], True, [TILE if len(p) >= TILED else None for p in pages])
+    return write_pages(pages, [{1: PACKBITS, 2: LZW}.get(len(p), DEFLATE) for p in pages], True, [TILE if len(p) >= TILED else None for p in pages])
 
 
 # reading
@@ -284,8 +288,11 @@ def page_samples(data: bytes, entries: dict[str, list[int]]) -> np.ndarray:
     return out[:, :, 0] if depth == 1 else out
 
 
-PAGE = "struct<page:int,width:int,height:int,samples:binary,total:bigint,squares:bigint>"
-ARROW = pa.list_(pa.struct([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.binary()), ("total", pa.int64()), ("squares", pa.int64())]))
+#: A row for each page; `last` marks the last row of a file.
+PAGE = "page int, width int, height int, samples binary, total long, squares long, last boolean, error string"
+ARROW = pa.schema([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.binary()), ("total", pa.int64()), ("squares", pa.int64()), ("last", pa.bool_()), ("error", pa.string())])
+#: Bytes of samples in an Arrow batch of pages, but for a single larger page.
+SAMPLES = 1 << 22
 
 
 def store(text: Column) -> Column:
@@ -297,29 +304,61 @@ def store(text: Column) -> Column:
     return F.arrow_udf(run, "binary")(text)
 
 
-def pages(media: Column) -> Column:
-    """The decoded pages of a media column, array<struct>; of a null, a null."""
-
-    def run(x: pa.Array) -> pa.Array:
-        out = []
-        for m in x:
-            data = m.as_py()
-            rows = None if data is None else []
-            for i, entries in enumerate(directories(data) if data is not None else ()):
-                s = page_samples(data, entries)
-                sums = np.bincount(s.ravel(), minlength=256)
-                value = np.arange(256)
-                rows.append({"page": i, "width": s.shape[1], "height": s.shape[0], "samples": s.tobytes(), "total": int(sums @ value), "squares": int(sums @ value**2)})
-            out.append(rows)
-        return pa.array(out, ARROW)
-
-    return F.arrow_udf(run, f"array<{PAGE}>")(media)
-
-
-def read_pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row for each page of each file: (key, page, width, height, samples, total, squares)."""
+def page_rows(data: bytes | None) -> Iterator[dict]:
+    """The decoded pages of a file, one after another, and how it ends."""
+    held: dict = dict.fromkeys(ARROW.names) | {"last": False}
+    first = True
+    try:
+        for i, entries in enumerate(directories(data) if data is not None else ()):
+            s = page_samples(data, entries)
+            if not first:
+                yield held
+            first = False
+            sums = np.bincount(s.ravel(), minlength=256)
+            value = np.arange(256)
+            held = dict(zip(ARROW.names, (i, s.shape[1], s.shape[0], s.tobytes(), int(sums @ value), int(sums @ value**2), False, None), strict=True))
+        yield held | {"last": True}
+    except (ValueError, IndexError, MemoryError, OverflowError) as e:  # what a damaged directory can lead to
+        if not first:
+            yield held
+        yield dict.fromkeys(ARROW.names) | {"last": True, "error": str(e) or type(e).__name__}
+
+
+def _read(carried: int):
+    """Page rows of the files in the column after the carried ones, which each row of a file repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            owner: list[int] = []
+            size = 0
+
+            def done(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                own = batch.take(pa.array(owner, pa.int64())).columns[:carried]
+                return pa.RecordBatch.from_arrays([*own, *pa.RecordBatch.from_pylist(rows, ARROW).columns], [*batch.schema.names[:carried], *ARROW.names])
+
+            for i, media in enumerate(batch.column(carried)):
+                for row in page_rows(media.as_py()):
+                    rows.append(row)
+                    owner.append(i)
+                    size += len(row["samples"] or b"")
+                    if size >= SAMPLES:
+                        yield done()
+                        rows, owner, size = [], [], 0
+            if rows:
+                yield done()
+        trim()
+
+    return run
+
+
+def read_pages(df: DataFrame, key: str = "doc_id", media: str = "media", carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each page of each file: (key, *carry, page, width, height, samples, total, squares, last, error)."""
     bounded_batches(df.sparkSession)
-    return df.select(key, F.explode(pages(F.col(media))).alias("p")).select(key, "p.*")
+    own = [key, *carry]
+    rows = df.select(*own, F.col(media).alias("_media"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(_read(len(own)), ", ".join([*fields, PAGE]))
 
 
 def store_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,23 +367,50 @@ def store_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), store(F.col(text)).alias("media"))
 
 
+FOLDED = [("pages", "int"), ("samples", "long"), ("total", "long"), ("squares", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("error", "string")]
+
+
+def _fold(carried: int):
+    """The page rows of each file, which follow one another, as one row."""
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = samples = total = squares = 0
+        payload, tail = hashlib.sha256(), b""
+        for batch in batches:
+            at: list[int] = []
+            out: list[tuple] = []
+            columns = {c: batch.column(carried + i) for i, c in enumerate(ARROW.names)}
+            number = {c: columns[c].to_pylist() for c in ("page", "total", "squares", "last", "error")}
+            for i, data in enumerate(columns["samples"]):
+                if number["page"][i] is not None:
+                    raw = data.as_buffer()
+                    payload.update(raw)
+                    tail = (tail + raw[max(0, raw.size - 32) :].to_pybytes())[-32:]
+                    pages, samples = pages + 1, samples + raw.size
+                    total, squares = total + number["total"][i], squares + number["squares"][i]
+                if number["last"][i]:
+                    at.append(i)
+                    out.append((pages, samples, total, squares, samples, payload.hexdigest(), zlib.crc32(tail), number["error"][i]))
+                    pages = samples = total = squares = 0
+                    payload, tail = hashlib.sha256(), b""
+            if at:
+                own = batch.take(pa.array(at, pa.int64())).columns[:carried]
+                made = [pa.array(c, types[t]) for c, (_, t) in zip(zip(*out, strict=True), FOLDED, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *made], [*batch.schema.names[:carried], *(n for n, _ in FOLDED)])
+        trim()
+
+    return run
+
+
 def digests(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the media hold, from their pages read back."""
-    rows = stored.select(key, "n_bytes", "media", pages(F.col("media")).alias("pages"))
-    join = F.reduce("pages", F.lit(b""), lambda a, p: F.concat(a, p["samples"]))
-    payload = F.when(F.size("pages") == 1, F.col("pages")[0]["samples"]).otherwise(join)
-    rows = rows.withColumn("payload", payload)
-    n = F.reduce("pages", F.lit(0).cast("bigint"), lambda a, p: a + p["width"] * p["height"])
-    total = F.reduce("pages", F.lit(0).cast("bigint"), lambda a, p: a + p["total"])
-    squares = F.reduce("pages", F.lit(0).cast("bigint"), lambda a, p: a + p["squares"])
-    mean = total / n
-    return rows.select(
-        key,
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        F.format_string("pages=%d;rows=%d;mean=%.3f;deviation=%.3f", F.size("pages"), F.floor(n / WIDTH), mean, F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0)))).alias("feature"),
-    )
+    """What the media hold, folded from their pages as these are read back; a damaged file names its error."""
+    carry = ["n_bytes", "media_bytes", "media_sha256"]
+    rows = stored.select(F.col(key), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    paged = read_pages(rows, key, "media", carry)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in paged.schema.fields[: 1 + len(carry)]]
+    folded = paged.mapInArrow(_fold(1 + len(carry)), ", ".join([*fields, *(f"{n} {t}" for n, t in FOLDED)]))
+    n = F.nullif("samples", F.lit(0))  # a damaged file may have no page
+    mean = F.col("total") / n
+    shape = F.format_string("pages=%d;rows=%d;mean=%.3f;deviation=%.3f", "pages", F.floor(n / WIDTH), mean, F.sqrt(F.greatest(F.col("squares") / n - mean * mean, F.lit(0.0))))
+    return folded.select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.when(F.col("error").isNull(), shape).alias("feature"), "error")

@@ -427,6 +427,31 @@ def test_op10_digests(spark):
         pay = raw + b"\xff" * (576 if not raw else -len(raw) % 576)
         r = next(x for x in got if x.doc_id == i)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
+    assert all(r.error is None and r.feature.startswith("pages=") for r in got)
     assert len({tuple(r)[1:] for r in got if r.doc_id == 3}) == 1 and len({tuple(r)[1:] for r in got if r.doc_id in (1, 2)}) == 1
     assert [r.page for r in tiff.read_pages(stored.where("doc_id = 4")).orderBy("page").collect()] == [0, 1]
     assert tiff.digests(tiff.store_documents(documents(spark, []))).count() == 0
+
+
+def test_media_use_every_compression():
+    how = {tiff.NAMES[259]: set()}
+    for n in (10, 600, 5000, 400_000, tiff.WIDTH * tiff.HEIGHT + 900):
+        data = tiff.store_bytes(b"ab c" * (n // 4))
+        how["compression"] |= {e["compression"][0] for e in tiff.directories(data)}
+        assert b"".join(r["samples"] for r in tiff.page_rows(data))[: n // 4 * 4] == b"ab c" * (n // 4)
+    assert how["compression"] == {tiff.PACKBITS, tiff.LZW, tiff.DEFLATE}
+
+
+def test_damaged_files_do_not_stop_the_others(spark):
+    good = tiff.store_bytes(b"x" * (tiff.WIDTH * tiff.HEIGHT + 700))
+    last = list(tiff.directories(good))[1]["strip_offsets"][0]
+    files = [good, b"", b"GIF8", None, good[:40], good[:last] + b"\x7f" * 9 + good[last + 9 :], good[:2000], good]
+    df = spark.createDataFrame([(i, 5, bytearray(f) if f is not None else None) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary").withColumn("page", F.lit("clash")).coalesce(1)
+    rows = tiff.read_pages(df, carry=["n_bytes"]).collect()
+    of = lambda i: [(r.page, r.last, r.error is None) for r in rows if r.doc_id == i]
+    assert of(0) == of(7) == [(0, False, True), (1, True, True)]
+    assert [of(i) for i in (1, 2, 4)] == [[(None, True, False)]] * 3 and of(3) == [(None, True, True)]
+    assert of(5) == [(0, False, True), (None, True, False)] and not of(6)[-1][2]
+    got = {r.doc_id: r for r in tiff.digests(df).collect()}
+    assert len(got) == len(files) and got[0].payload_sha256 == got[7].payload_sha256 and got[0].error is None
+    assert all(got[i].error and got[i].feature is None for i in (1, 2, 4, 5, 6))
