@@ -6,7 +6,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
+import glob
+import os
 import sys
 import tempfile
 import uuid
@@ -137,6 +140,14 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+@functools.cache
+def one_thread() -> None:
+    """Let numpy's bundled linear algebra use one thread in this process: a task owns one core, and idle helpers spin."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        if held := getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None):
+            held(1)
+
+
 def squeeze(ascending: np.ndarray) -> bytes:
     """Ascending uint64 values as the byte planes of their differences, whose high planes compress to nothing."""
     steps = np.diff(ascending, prepend=np.uint64(0))

@@ -6,17 +6,22 @@ offset embeddings are added and squashed, then a class and a word within the cla
 
 Words are counted over the whole corpus. The most frequent ones are the network's vocabulary, the
 others share hashed entries, and the counts are the network's first biases. A word of an entry has
-the entry's probability times its own share there: its count in the corpus over the entry's count
-and 1, which is left for all unseen words together. These counts follow the corpus and reach no
-driver: scan tasks pack their distinct words by hash range, a range's task adds them up and sends
-the sums back to the packs. Training is distributed: in each
-round every task runs numpy SGD from the shared parameters over its share of the windows of all its
-documents (the rounds together take every window once), and
-the tasks' parameters are averaged in groups, weighted by their windows, before they reach the
-driver as one set of fixed size.
+the entry's probability times its own share there: how often it occurs in other documents over the
+entry's count and 1. That 1 is left for words of no other document, which share it by their
+spelling: a chain of byte pairs counted over the corpus. So a document is scored by what the rest of
+the corpus holds, and one that the corpus repeats stands out. The counts follow the corpus and reach
+no driver (but the vocabulary and the table of byte pairs, of fixed size): scan tasks pack their
+distinct words by hash range, a range's task adds them up and sends the sums back to the packs.
+
+Training is distributed: in each round every task runs numpy SGD from the shared parameters over its
+share of the windows of all its documents (the rounds together take every window once), and the
+tasks' parameters are averaged in groups, weighted by their windows, before they reach the driver as
+one set of fixed size.
 
 Null and empty texts have no tokens and score 0 with a null mean. An empty table trains nothing.
-Repeated rows are documents like others.
+Repeated rows are documents like others, with scores equal but for the rounding of sums; words of
+equal counts are ordered by hash. A very long text is a slice of its own. Only doc_id and text are
+read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, input_parts, materialize, pieces, squeeze, trim, unsqueeze
+from .common import bounded_batches, input_parts, materialize, one_thread, pieces, squeeze, trim, unsqueeze
 from .jaccard_join import _each
-from .shingles import words
+from .shingles import BORDER, PAIRS, byte_pairs, words
 
 CLASSES, EACH, HASHED, SIDE, WIDTH = 32, 64, 48, 2, 16
 SIZE = CLASSES * EACH
@@ -44,7 +49,9 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.08
 TEXT = 1 << 19
 #: Words and documents that a scan task packs together at most (but for a single longer slice).
 FLUSH, FLUSH_ROWS = 1_000_000, 60_000
-#: kind: 0 words of a hash range and their counts, 1 the pack's own table of documents
+#: What each pair of bytes counts at least.
+UNSEEN = 0.1
+#: kind: 0 words of a hash range and their counts, 1 the pack's own table of documents, the spelling of its words, and which occur
 PACK = "part int, pack long, kind int, words binary, counts binary, docs binary"
 PACKED = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("words", "counts", "docs"))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
@@ -58,6 +65,7 @@ class Network:
     classes: np.ndarray  # WIDTH + 1 x CLASSES, the last row is the bias
     inner: np.ndarray  # CLASSES x WIDTH + 1 x EACH
     rest: np.ndarray  # the corpus count of all words of each hashed entry
+    spelling: np.ndarray  # log-probability of each byte after another, by the number of their pair
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
@@ -73,7 +81,13 @@ class Network:
             flat = flat[x.size :]
 
 
-def start(counts: list[tuple[int, int]], rest: int | np.ndarray) -> Network:
+def spelling(pairs: np.ndarray) -> np.ndarray:
+    """Log-probabilities of bytes (or the end of a word) after each byte (or its start), from counts of pairs."""
+    table = pairs.reshape(BORDER + 1, BORDER + 1) + UNSEEN
+    return np.log(table / table.sum(1, keepdims=True)).ravel()
+
+
+def start(counts: list[tuple[int, int]], rest: int | np.ndarray, pairs: np.ndarray | None = None) -> Network:
     """A network whose biases are the words' counts: (hash, count) by frequency, and all other words' count, in all or by entry."""
     rest = np.full(HASHED, rest / HASHED) if np.ndim(rest) == 0 else rest
     r = np.random.default_rng(3)
@@ -86,7 +100,7 @@ def start(counts: list[tuple[int, int]], rest: int | np.ndarray) -> Network:
     embed = r.normal(0, 0.1, (2 * SIDE, SIZE + 1, WIDTH)).astype(np.float32)
     classes = np.concatenate([r.normal(0, 0.1, (WIDTH, CLASSES)), np.log(by_class.sum(1) / unigram.sum())[None]]).astype(np.float32)
     inner = np.concatenate([r.normal(0, 0.1, (CLASSES, WIDTH, EACH)), np.log(by_class / by_class.sum(1, keepdims=True))[:, None]], 1).astype(np.float32)
-    return Network(h[order], order, embed, classes, inner, rest)
+    return Network(h[order], order, embed, classes, inner, rest, spelling(np.zeros(PAIRS) if pairs is None else pairs))
 
 
 def contexts(token: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -108,9 +122,10 @@ def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
     return np.tanh(z)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of one entry of each row of scores."""
+    top = z.max(1)
+    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
 
 
 def log_probabilities(net: Network, token: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -119,13 +134,13 @@ def log_probabilities(net: Network, token: np.ndarray, around: np.ndarray) -> np
         t = token[a : a + (1 << 15)]
         h = _hidden(net, around[:, a : a + (1 << 15)])
         group = t // EACH
-        lp = _log_softmax(h @ net.classes[:-1] + net.classes[-1])[np.arange(len(t)), group].astype(np.float64)
+        lp = _chosen(h @ net.classes[:-1] + net.classes[-1], group).astype(np.float64)
         order = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
-                lp[rows] += _log_softmax(h[rows] @ net.inner[c, :-1] + net.inner[c, -1])[np.arange(len(rows)), t[rows] % EACH]
+                lp[rows] += _chosen(h[rows] @ net.inner[c, :-1] + net.inner[c, -1], t[rows] % EACH)
         out[a : a + (1 << 15)] = lp
     return out
 
@@ -159,23 +174,32 @@ def train_step(net: Network, token: np.ndarray, around: np.ndarray, rate: float)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a task and their counts, added up over a few million words at a time."""
+    """The words of a task (pair: false) and the pairs of their bytes, each with its count, added up over a few million words at a time."""
     held: list[np.ndarray] = []
+    pairs = np.zeros(PAIRS, np.int64)
     size = 0
 
-    def count() -> pa.RecordBatch:
+    def count() -> Iterator[pa.RecordBatch]:
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n.astype(np.int64)})
+        yield pa.RecordBatch.from_pydict({"pair": np.zeros(len(h), bool), "h": h.view(np.int64), "n": n.astype(np.int64)})
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_pydict({"pair": np.ones(len(at), bool), "h": at, "n": pairs[at]})
+        pairs[:] = 0
 
     for batch in batches:
         for part in pieces(batch, "text", TEXT):
             held.append(words(part.column("text"))[0])
             size += len(held[-1])
+            inner, start, end, last = byte_pairs(part.column("text"))
+            run = np.zeros(len(inner) + 1, np.int8)  # 1 inside words
+            run[start] += 1
+            run[end] -= 1
+            pairs += np.bincount(inner[np.cumsum(run[:-1], dtype=np.int8) > 0], minlength=PAIRS) + np.bincount(last, minlength=PAIRS)
             if size >= 2_000_000:
-                yield count()
+                yield from count()
                 held, size = [], 0
     if size:
-        yield count()
+        yield from count()
     trim()
 
 
@@ -188,6 +212,7 @@ def in_round(h: np.ndarray, off: np.ndarray, round_: int, rounds: int) -> np.nda
 
 def _trained(net: Network, round_: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         task = TaskContext.get().partitionId()
         token, around, seen = [], [], 0
 
@@ -230,14 +255,17 @@ def _mean(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    counts = materialize(docs.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    counted = materialize(docs.select("text").mapInArrow(_counted, "pair boolean, h long, n long").groupBy("pair", "h").agg(F.sum("n").alias("n")), "counts")
+    counts = counted.where("not pair")
     marked = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
-    rest = np.zeros(HASHED)
+    rest, pairs = np.zeros(HASHED), np.zeros(PAIRS)
     for r in counts.groupBy(_entry(F.col("h")).alias("entry")).agg(F.sum("n").alias("n")).collect():
         rest[r.entry] = r.n
     for r in marked:
         rest[r.h % 2**64 % HASHED] -= r.n
-    net = start([(r.h, r.n) for r in marked], rest)
+    for r in counted.where("pair").collect():  # at most PAIRS rows
+        pairs[r.h] = r.n
+    net = start([(r.h, r.n) for r in marked], rest, pairs)
     row = "task int, weight double, flat binary"
     groups = math.isqrt(input_parts(docs)) + 1
     for k in range(rounds):
@@ -254,20 +282,28 @@ def _entry(h: Column) -> Column:
     return F.pmod(F.pmod(h, F.lit(HASHED)) + F.when(h < 0, 2**64 % HASHED).otherwise(0), F.lit(HASHED))
 
 
+def spell(net: Network, text: pa.Array, of: np.ndarray) -> np.ndarray:
+    """The log-probability of the spelling of the words that `of` marks."""
+    inner, start, end, last = byte_pairs(text)
+    total = np.append(0, np.cumsum(net.spelling[inner]))
+    return (total[end[of]] - total[start[of]] + net.spelling[last[of]]).astype(np.float32)
+
+
 def _scored(net: Network, parts: int):
-    """Packs of scored documents, without the counts of the words of hashed entries, and of these words by hash range."""
+    """Packs of scored documents, without the shares of the words of hashed entries, and of these words by hash range."""
     cuts = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
 
     def pack(held: list, number: int) -> pa.RecordBatch:
-        doc, n, total, rare, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        value, index, count = np.unique(h, return_inverse=True, return_counts=True)
+        doc, n, total, rare, h, spelled = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, first, index, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         edges = [0, *np.searchsorted(value, cuts).tolist(), len(value)]
         out = [(p, number, 0, squeeze(value[a:b]), count[a:b].astype(np.int64).tobytes(), b"") for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
         table = np.concatenate([np.array([len(n)]), doc[:, 0], doc[:, 1], n, total.view(np.int64), rare])
-        out.append((number % parts, number, 1, b"", index.astype(np.uint32).tobytes(), table.astype(np.int64).tobytes()))
+        out.append((number % parts, number, 1, spelled[first].tobytes(), index.astype(np.uint32).tobytes(), table.astype(np.int64).tobytes()))
         return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in out], PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         task, number = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = rows = 0
@@ -281,7 +317,7 @@ def _scored(net: Network, parts: int):
                 total, rare = np.append(0, np.cumsum(lp)), np.append(0, np.cumsum(other))
                 ids = part.column("doc_id")
                 doc = np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().cast(pa.int64()).to_numpy()], 1)
-                held.append((doc, np.diff(off), total[off[1:]] - total[off[:-1]], rare[off[1:]] - rare[off[:-1]], h[other]))
+                held.append((doc, np.diff(off), total[off[1:]] - total[off[:-1]], rare[off[1:]] - rare[off[:-1]], h[other], spell(net, part.column("text"), other)))
                 size, rows = size + int(rare[-1]), rows + len(doc)
                 if size >= FLUSH or rows >= FLUSH_ROWS:
                     yield pack(held, (task << 32) + number)
@@ -310,14 +346,20 @@ def _sums(rows: pa.Table) -> pa.Table:
 
 
 def _finished(rows: pa.Table) -> pa.Table:
-    """Of one pack: its documents, with the words' counts in their scores."""
+    """Of one pack: its documents, with the shares of the words of hashed entries in their scores."""
     kind, part, count = (rows.column(c).to_pylist() for c in ("kind", "part", "counts"))
     head = kind.index(1)
     table = np.frombuffer(rows.column("docs")[head].as_buffer(), np.int64)
     doc, valid, n, total, rare = table[1:].reshape(5, table[0])
     ranges = sorted((p, i) for i, (k, p) in enumerate(zip(kind, part, strict=True)) if k == 0)
-    logs = np.log(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(count[i], np.int64) for _, i in ranges)]))
-    more = np.append(0, np.cumsum(logs[np.frombuffer(count[head], np.uint32)]))
+    corpus = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(count[i], np.int64) for _, i in ranges)])
+    spelled = np.frombuffer(rows.column("words")[head].as_buffer(), np.float32)
+    index = np.frombuffer(count[head], np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(rare)), rare)
+    _, same, own = np.unique(owner * max(len(corpus), 1) + index, return_inverse=True, return_counts=True)
+    other = corpus[index] - own[same]  # how often a word occurs in other documents
+    share = np.where(other > 0, np.log(np.maximum(other, 1)), spelled[index])
+    more = np.append(0, np.cumsum(share))
     off = np.append(0, np.cumsum(rare))
     return pa.Table.from_arrays([pa.array(doc, mask=valid == 0), pa.array(n), pa.array(total.view(np.float64) + more[off[1:]] - more[off[:-1]])], schema=SCORES)
 

@@ -43,11 +43,8 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the number of words up to the start of each row (one more than rows)."""
-    raw, off = flat_bytes(text)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(text) + 1, np.int64)
+def _edges(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends; a word ends with its row."""
     inside = ~IS_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
@@ -55,13 +52,40 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     head[1:] &= ~inside[:-1] | edge[1:-1]
     tail = inside.copy()
     tail[:-1] &= ~inside[1:] | edge[1:-1]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+
+def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the number of words up to the start of each row (one more than rows)."""
+    raw, off = flat_bytes(text)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(text) + 1, np.int64)
+    start, end = _edges(raw, off)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(VALUE[raw] * _power(BASE, len(raw)), out=total[1:])
     h = mix((total[end] - total[start]) * _power(BACK, len(raw))[start])
     return h, np.searchsorted(start, off)
 
 
+#: Rows and columns of a table of byte pairs: the 256 bytes, and the border of a word.
+BORDER = 256
+PAIRS = (BORDER + 1) ** 2
+
+
+def byte_pairs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte its pair with the byte before it in its word (or the border), where words start and end, and
+    for each word the pair of its last byte and the border. Pairs are numbers below PAIRS."""
+    raw, off = flat_bytes(text)
+    if not len(raw):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    start, end = _edges(raw, off)
+    low = LOWER[raw].astype(np.int32)
+    before = np.append(BORDER, low[:-1]).astype(np.int32)
+    before[start] = BORDER
+    return before * (BORDER + 1) + low, start, end, low[end - 1] * (BORDER + 1) + BORDER
+
+
 def shingles(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within the row, and the offsets of the rows."""
     h, off = words(text)

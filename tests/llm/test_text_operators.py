@@ -359,7 +359,27 @@ def test_rounds_train_every_window(spark):
     assert sorted(i for k in range(r) for i in pseudo_likelihood.in_round(h, off, k, r)) == list(range(9))
 
 
-def test_words_of_an_entry_score_by_their_counts(spark, monkeypatch):
+def test_noise_scores_below_text_and_repeats_above(spark):
+    r = random.Random(6)
+    syllables = ["ka", "to", "mi", "ren", "sol", "da", "vin", "el"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(min(r.randint(1, 9), r.randint(1, 9))))
+    rows = [(i, " ".join(word() for _ in range(120))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    rows += [(2000 + i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(120))) for i in range(10)]
+    got = {x.doc_id: x.mean_log_likelihood for x in pseudo_likelihood.score(documents(spark, rows)).collect()}
+    once = [got[i] for i in range(20, 300)]
+    assert max(got[i] for i in range(2000, 2010)) < min(once)
+    assert min(got[i] for i in [*range(20), *range(1000, 1020)]) > max(once)
+
+
+def test_byte_pairs():
+    some = ["Ab c", "", None, " é\tab", "x"]
+    inner, start, end, last = pseudo_likelihood.byte_pairs(pa.array(some))
+    spell = lambda w: [a * 257 + b for a, b in zip([256, *w], [*w, 256])]
+    assert [[*inner[a:b].tolist(), z] for a, b, z in zip(start, end, last.tolist())] == [spell(w.lower().encode()) for t in some for w in (t or "").split()]
+
+
+def test_words_of_an_entry_score_by_other_documents(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "FLUSH", 300)  # so that there are many packs
     r = random.Random(4)
     rows = [(i, " ".join(f"v{r.randrange(2000)}" for _ in range(200))) for i in range(60)] + [(i, " ".join(f"r{r.randrange(10)}" for _ in range(9))) for i in range(60, 70)] + [(70, "once"), (None, "r1 r1"), (None, None), (72, "")]
@@ -371,12 +391,27 @@ def test_words_of_an_entry_score_by_their_counts(spark, monkeypatch):
     value, count = np.unique(all_, return_counts=True)
     corpus = dict(zip(value.tolist(), count.tolist()))
     assert net.rest.sum() == sum(n for h, n in corpus.items() if net.tokens(np.array([h], np.uint64))[0] >= pseudo_likelihood.VOCABULARY) > 50
+    chain = {}
+    for _, t in rows:
+        for w in (t or "").lower().split():
+            for pair in zip(["", *w], [*w, ""]):
+                chain[pair] = chain.get(pair, 0) + 1
+
+    def spelled(w):
+        total = 0.0
+        for a, b in zip(["", *w], [*w, ""]):
+            total += np.log((chain.get((a, b), 0) + pseudo_likelihood.UNSEEN) / (sum(n for (x, _), n in chain.items() if x == a) + 257 * pseudo_likelihood.UNSEEN))
+        return total
+
     want = []
     for i, t in rows:
         h, off = pseudo_likelihood.words(pa.array([t], pa.string()))
         token = net.tokens(h)
         lp = pseudo_likelihood.log_probabilities(net, token, pseudo_likelihood.contexts(token, off)).sum()
-        lp += sum(np.log(corpus[w] / (net.rest[k - pseudo_likelihood.VOCABULARY] + 1)) for w, k in zip(h.tolist(), token.tolist()) if k >= pseudo_likelihood.VOCABULARY)
+        for w, word, k in zip(h.tolist(), (t or "").split(), token.tolist()):
+            if k >= pseudo_likelihood.VOCABULARY:
+                other = corpus[w] - h.tolist().count(w)
+                lp += (np.log(other) if other else spelled(word)) - np.log(net.rest[k - pseudo_likelihood.VOCABULARY] + 1)
         want.append((-1 if i is None else i, len(h), float(lp)))
     got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_tokens, x.log_likelihood) for x in pseudo_likelihood.score(docs).collect())
     assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
