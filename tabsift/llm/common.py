@@ -11,7 +11,6 @@ import gc
 import glob
 import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Rows in an Arrow batch: documents may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 500
 
@@ -47,15 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tabsift-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder by Hadoop's file system; a folder that is gone is no error."""
     if spark.sparkContext._jsc is None:
@@ -71,6 +63,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark resolves it by, so that workers open the same file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write a Parquet table into the shared folder and read it back."""
     spark = df.sparkSession

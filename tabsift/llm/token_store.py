@@ -4,11 +4,14 @@ Documents are dealt by ranges of their ids, sorted, encoded and written by each
 ids as a dictionary-encoded list column, ids of documents, starts and counts delta-encoded, row
 groups of about GROUP tokens, data pages of PAGE bytes, with a page index. A file's name has its
 place in the order, and it appears whole under that name or not at all, so a task that runs again
-writes the same file. Readers take single columns (metadata without tokens) or the row groups that
-a range of ids needs.
-
-Nulls and empty texts hold the end id alone. A null doc_id sorts first; rows that share a doc_id
-are ordered by a hash of their text, by which they also spread over the files.
+writes the same file. Readers take single columns (metadata without tokens) or the pages that a
+range of ids needs: a filter on doc_id reaches the scan, which skips files and row groups by their
+statistics and pages by the page index.
+
+Nulls and empty texts hold the end id alone, an empty table has no files. A null doc_id sorts first;
+rows that share a doc_id are ordered by a hash of their text, by which they also spread over the
+files. A very long text is a slice of its own. Only the key and the text of a table are read, so
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, input_parts, pieces, scratch_path
+from .common import bounded_batches, input_parts, pieces, qualified, scratch_path
 from .pretokens import load
 
 GROUP, PAGE = 1 << 20, 1 << 16
@@ -41,7 +44,8 @@ class Store:
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path if not path.startswith("file:") else path.replace("file:", "file://", 1))
+    """Of a qualified path; Spark writes local ones with a single slash."""
+    return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
 def _writer(model_path: str, folder: str, end_id: int):
@@ -85,6 +89,7 @@ def write(docs: DataFrame, model_path: str, folder: str, end_id: int = 0, key: s
     """Write the ids of every whole text, each with an end id, in ascending order of the key."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    folder = qualified(spark, folder)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = input_parts(rows, least=8)
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
@@ -97,29 +102,7 @@ def write(docs: DataFrame, model_path: str, folder: str, end_id: int = 0, key: s
     return Store(files)
 
 
-def _reader(columns: list[str], low: int | None, high: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                fs, name = _file_system(path)
-                with fs.open_input_file(name) as f:
-                    file = pq.ParquetFile(f)
-                    for g in range(file.num_row_groups):
-                        stats = file.metadata.row_group(g).column(0).statistics
-                        if (low is not None or high is not None) and (not stats or not stats.has_min_max or (low is not None and stats.max < low) or (high is not None and stats.min > high)):
-                            continue
-                        got = file.read_row_group(g, columns=list(dict.fromkeys(["doc_id", *columns])))
-                        if low is not None:
-                            got = got.filter(pa.compute.greater_equal(got["doc_id"], low))
-                        if high is not None:
-                            got = got.filter(pa.compute.less_equal(got["doc_id"], high))
-                        for b in got.select(columns).to_batches():
-                            if "start" in columns:
-                                i = columns.index("start")
-                                b = b.set_column(i, "start", pa.compute.add(b.column(i), before))
-                            yield b
-
-    return run
+TYPES = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids": "array<int>"}
 
 
 def _files(spark: SparkSession, store: Store) -> DataFrame:
@@ -127,18 +110,36 @@ def _files(spark: SparkSession, store: Store) -> DataFrame:
     return rows.repartition(max(1, len(store.files)))
 
 
-TYPES = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids": "array<int>"}
-
-
 def read(spark: SparkSession, store: Store, columns: list[str] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
-    """The chosen columns of documents with low <= doc_id <= high; row groups outside are not read."""
+    """The chosen columns of documents with low <= doc_id <= high; pages outside are not read."""
     columns = columns or list(TYPES)
-    bounded_batches(spark)
-    return _files(spark, store).mapInArrow(_reader(columns, low, high), ", ".join(f"{c} {TYPES[c]}" for c in columns))
+    rows = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in TYPES.items()))
+    if store.files:
+        rows = spark.read.schema(rows.schema).parquet(*(p for _, p, _, _ in store.files))
+    if low is not None:
+        rows = rows.where(F.col("doc_id") >= low)
+    if high is not None:
+        rows = rows.where(F.col("doc_id") <= high)
+    if "start" in columns and store.files:
+        before = spark.createDataFrame([(posixpath.basename(p), b) for _, p, _, b in store.files], "_file string, _before long")  # a row for each file
+        rows = rows.withColumn("_file", F.col("_metadata.file_name")).join(F.broadcast(before), "_file").withColumn("start", F.col("start") + F.col("_before"))
+    return rows.select(*columns)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole files, group by group."""
+    for batch in batches:
+        for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
+            fs, name = _file_system(path)
+            with fs.open_input_file(name) as f:
+                file = pq.ParquetFile(f)
+                for g in range(file.num_row_groups):
+                    for b in file.read_row_group(g, columns=list(TYPES)).to_batches():
+                        yield b.set_column(1, "start", pa.compute.add(b.column(1), before))
 
 
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _reader(list(TYPES), None, None)(batches):
+    for b in _batches(batches):
         lists = b.column(3)
         off = np.asarray(lists.offsets)
         values = memoryview(np.ascontiguousarray(np.asarray(lists.values), "<u4").view(np.uint8))

@@ -89,7 +89,12 @@ def test_store_round_trip_and_selective_reads(spark, tmp_path):
     assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), c) for i, c in (by_text(*r) for r in rows))
     part = token_store.read(spark, store, ["doc_id", "n_tokens"], 10, 20).collect()
     assert sorted(r.doc_id for r in part) == list(range(10, 21))
-    assert token_store.checksums(spark, token_store.write(documents(spark, []), BYTES, str(tmp_path / "none"))).count() == 0
+    some = token_store.read(spark, store, None, 30, 60)
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,30), LessThanOrEqual(doc_id,60)]" in some._jdf.queryExecution().toString()
+    starts = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in got}
+    assert len(some.collect()) == 31 and all(starts[r.doc_id, r.start] == (r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in some.collect())
+    none = token_store.write(documents(spark, []), BYTES, str(tmp_path / "none"))
+    assert token_store.checksums(spark, none).count() == 0 and token_store.read(spark, none).count() == 0
 
 
 # spans
