@@ -6,11 +6,16 @@ all 1 at first, are then fitted by projected gradient least squares so that the
 each domain (rate x tokens x posterior, summed over all documents) match its target; steps go on until
 they do, and targets that cannot be met are reported by a warning. The driver
 holds only a vector of domains for each step; a document's rate follows from its posterior and those
-vectors, so every step is one scan with a sum and no step writes anything.
+vectors, so every step is one scan with a sum and no step writes anything. Where documents of the
+largest domain must stay, the steps are projected onto rates of at least 1 for those that most
+likely belong to it.
 
 A null or empty text has no tokens, the classifier's prior as posterior, and its rate has no
 effect. Without labelled documents all have the domain `clean`. Rows without doc_id or label teach
-nothing; of several labels of a doc_id the least counts. Repeated rows are documents like others.
+nothing; of several labels of a doc_id the least counts, of several texts the one of the least hash.
+Repeated rows are documents like others, and equal texts have equal posteriors and rates. A very
+long text is a slice of its own. Only doc_id and text, and the labels' doc_id, quality and toxic are
+read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,17 +26,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, least_hash_rows, materialize, pieces, trim
+from .common import bounded_batches, flat_bytes, least_hash_rows, materialize, one_thread, pieces, trim
 from .shingles import words
 
 DOMAINS = ["clean", "poor", "toxic"]
 #: Labelled documents of each domain that the classifier is fitted on, hashed words, and bytes hashed at once.
 SAMPLE, BUCKETS, TEXT = 2000, 1 << 18, 1 << 19
-#: Sampled documents that must share a feature for it to have a weight.
-SHARED = 10
+#: Sampled documents that must share a feature for it to have a weight, and distinct features of a domain's sample (but for its first document).
+SHARED, FEATURES = 10, 4_000_000
 BINS = 8
 #: Target shares of the mixture's tokens. The domain with the largest share keeps its tokens.
 TARGETS = {"clean": 0.93, "poor": 0.04, "toxic": 0.03}
@@ -122,7 +127,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", TEXT):
             number, off, _ = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("domain"), pa.array([number[a:b].astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["domain", "features"])
+            lists = pa.array([number[a:b].astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), pa.array(np.diff(off).astype(np.int64)), lists], ["doc_id", "domain", "size", "features"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -135,8 +141,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     found = labelled(docs, labels)
     total = {r.domain: r.n for r in found.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     chosen = least_hash_rows(found, "domain", sample)
-    # At most `sample` rows of each of three domains, so these may be broadcast and collected.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("domain", "text").mapInArrow(_featured, "domain string, features binary").collect()
+    # At most `sample` rows of each of three domains, so these may be broadcast.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    made = materialize(texts.select("doc_id", "domain", "t.text").mapInArrow(_featured, "doc_id long, domain string, size long, features binary"), "features")
+    # What reaches the driver is bounded by bytes too: documents in the order of their hash, up to FEATURES.
+    upto = F.sum("size").over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = made.select("doc_id", "size", upto.alias("upto")).where((F.col("upto") <= FEATURES) | (F.col("upto") == F.col("size"))).select("doc_id")
+    rows = made.join(F.broadcast(fits), "doc_id", "left_semi").select("domain", "features").collect()
     rows.sort(key=lambda r: (r.domain, bytes(r.features)))
     names = [d for d in DOMAINS if any(r.domain == d for r in rows)] or DOMAINS[:1]
     x = [np.frombuffer(r.features, np.int32) for r in rows]
@@ -163,15 +174,18 @@ class Rates:
 
     gradients: list[np.ndarray] = field(default_factory=list)
     step: float = 1.0
+    #: The domain whose likely documents (a posterior of at least a half) have rates of at least 1.
+    keep: int | None = None
 
     def __call__(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rates after all steps, and the point at which the next gradient is taken."""
         r = ahead = np.ones(len(p))
+        least = np.zeros(len(p)) if self.keep is None else np.where(p[:, self.keep] >= 0.5, 1.0, 0.0)
         t = 1.0
         for g in self.gradients:
-            new = np.maximum(0.0, ahead - self.step * (p @ g))
+            new = np.maximum(least, ahead - self.step * (p @ g))
             t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-            r, ahead = new, np.maximum(0.0, new + (before - 1) / t * (new - r))
+            r, ahead = new, np.maximum(least, new + (before - 1) / t * (new - r))
         return r, ahead
 
 
@@ -183,6 +197,7 @@ def _sums(rates: Rates, k: int, second: bool):
     """Sums over all documents: expected tokens at the rates, and ahead; with `second` the products of posteriors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         total = np.zeros(2 * k + (k * k if second else 0))
         for batch in batches:
             p, n = _posterior(batch, k), np.asarray(batch.column("n_tokens"), np.float64)
@@ -195,10 +210,11 @@ def _sums(rates: Rates, k: int, second: bool):
     return run
 
 
-def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float]) -> Rates:
+def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float], keep: bool = False) -> Rates:
+    """The rates at which (n_tokens, posterior) meet the targets; with `keep` no likely document of the largest domain is rated below 1."""
     k = len(names)
     share = np.array([targets.get(d, 0.0) for d in names])
-    rates = Rates()
+    rates = Rates(keep=int(np.argmax(share)) if keep else None)
 
     def sums(second: bool = False) -> np.ndarray:
         rows = scored.select("n_tokens", "posterior").mapInArrow(_sums(rates, k, second), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -237,17 +253,17 @@ def _rated(rates: Rates, k: int):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> tuple[Classifier, Rates]:
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, keep: bool = False) -> tuple[Classifier, Rates]:
     """The classifier, and the rates as a function of posteriors."""
-    return _fitted(docs, labels, targets, sample)[:2]
+    return _fitted(docs, labels, targets, sample, keep)[:2]
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int) -> tuple[Classifier, Rates, DataFrame]:
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int, keep: bool = False) -> tuple[Classifier, Rates, DataFrame]:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = learn(docs, labels, sample)
     scored = materialize(docs.mapInArrow(_scored(model), "doc_id long, n_tokens long, posterior array<double>"), "posteriors")
-    return model, fit_rates(scored, model.names, targets), scored
+    return model, fit_rates(scored, model.names, targets, keep), scored
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:

@@ -310,8 +310,38 @@ def test_skewed_corpora_meet_targets_or_warn(spark):
         fitted([100], [[0.5, 0.25, 0.25]])
 
 
+def test_fit_over_a_table_equals_plain_least_squares(spark):
+    r = np.random.default_rng(8)
+    n, p = r.integers(1, 200, 300), r.dirichlet([0.4, 0.1, 0.1], 300) ** 4
+    p /= p.sum(1, keepdims=True)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>").repartition(2)
+    have = n @ p
+    target = np.array([0.93, 0.04, 0.03]) / 0.93 * have[0]
+    for keep in (False, True):
+        least = (p[:, 0] >= 0.5) * float(keep)
+        rates = mixing.fit_rates(rows, mixing.DOMAINS, mixing.TARGETS, keep)
+        x = rates(p)[0]
+        # plain projected gradient steps, without momentum or weights, from the same start
+        y, a = np.ones(300), p * n[:, None]
+        for _ in range(40_000):
+            y = np.maximum(least, y - (a @ (y @ a - target)) / np.linalg.norm(a, 2) ** 2)
+        assert y @ a == pytest.approx(target, rel=2e-3) and x @ a == pytest.approx(target, rel=2e-3)
+        assert (x >= least).all()
+
+
+def test_sampled_features_are_bounded(spark, monkeypatch):
+    docs, labels = labelled_rows(spark, 200)
+    twice = docs.union(documents(spark, [(3, "zebra zebra"), (3, None)]))
+    weights = [mixing.learn(d.repartition(k), labels).weights for d, k in ((twice, 3), (twice, 1))]
+    assert (weights[0] == weights[1]).all()
+    monkeypatch.setattr(mixing, "FEATURES", 1)
+    assert len(mixing.learn(docs, labels).names) == 3
+
+
 def test_mixing_edges(spark):
     docs, labels = labelled_rows(spark, 60)
+    clash = docs.withColumn("domain", F.lit(1)).withColumn("rate", F.lit(2)).union(documents(spark, [(2, "long " * 200_000)]).selectExpr("*", "1", "2"))
+    assert mixing.mixture(clash, labels.withColumn("text", F.lit("x"))).count() == 61
     odd = documents(spark, [(None, None), (1, ""), (1, "good good"), (1, "good good")])
     assert len(mixing.mixture(docs.union(odd), labels).collect()) == 64
     assert {(r.p_clean, r.rate) for r in mixing.mixture(docs, labels.where("false")).collect()} == {(1.0, 1.0)}
