@@ -5,12 +5,14 @@ written as Parquet and read again as the next one's docs. All but the last retur
 documents, whatever others there are. Rows are told apart by their place in the files and not by
 doc_id, so null and repeated ids are rows like others.
 
-- language: rows whose text has no letter or is near no learned language go.
+- language: rows whose text has no letter or is near no learned language go; a short text has few
+  n-grams and so a low score, and less is asked of it.
 - near duplicates: of each group of linked texts the row of the least doc_id stays; a row without
   words is linked with nothing and stays.
 - personal data: spans become their kind's name, and n_chars follows the text.
 - mixture: a row is there as many times as its rate, rounded up or down by a hash of its text and
-  doc_id, so that expected tokens follow the rates.
+  doc_id, so that expected tokens follow the rates. Rows that are most likely clean have rates of at
+  least 1, so all of them stay.
 - tokens: ids with an end id, their number, and a hash of the text that they decode to.
 
 An empty table passes through all stages.
@@ -23,6 +25,7 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from tabsift.llm.common import bounded_batches, materialize, pieces, release, ta
 
 #: Scores under which a text is near no language that was learned; texts of the learned ones have 0.45 and more.
 LEAST_SCORE = 0.3
+#: Code points of a text from which on the whole score is asked for; of a shorter one its share.
+SHORT = 120
 #: Near duplicates share this percentage of their shingles of so many words.
 SIMILARITY, SHINGLE = 80, 5
 #: The column that tells rows apart inside a stage.
@@ -41,11 +46,26 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     bounded_batches(spark)
     profiles = language.learn(docs, ~language.held_out())
     found = docs.withColumn(ROW, language.predict(F.col("text"), profiles))
-    return found.where((F.col(f"{ROW}.lang") != language.UND) & (F.col(f"{ROW}.score") >= LEAST_SCORE)).select(*docs.columns)
+    least = LEAST_SCORE * F.least(F.lit(1.0), F.length("text") / SHORT)
+    return found.where((F.col(f"{ROW}.lang") != language.UND) & (F.col(f"{ROW}.score") >= least)).select(*docs.columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number in ROW that is the same in every plan and after the loss of an executor: the place of
+    their file among all files, and theirs in it. Rows that are no scan of files are written first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        named = docs.select("*", place["file_path"].alias(f"{ROW}_file"), place["row_index"].alias(f"{ROW}_at"))
+    except AnalysisException:
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in named.select(f"{ROW}_file").distinct().collect())  # a row for each file
+    order = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{ROW}_place long, {ROW}_file string")
+    out = named.join(F.broadcast(order), f"{ROW}_file")
+    return out.select(*docs.columns, F.shiftleft(F.col(f"{ROW}_place"), 40).bitwiseOR(F.col(f"{ROW}_at")).alias(ROW))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = numbered(docs)
     joined = materialize(jaccard_join.join(rows, SIMILARITY, SHINGLE, key=ROW), "joined").select(F.col("doc_id").alias(ROW), "component_id")
     release(spark)
     named = rows.select(ROW, "doc_id").join(joined, ROW)
@@ -72,7 +92,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    model, rates = mixing.fitted(docs, table(spark, sf_dir, "labels"))
+    model, rates = mixing.fitted(docs, table(spark, sf_dir, "labels"), keep=True)
 
     def copies(text: pa.Array, u: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
