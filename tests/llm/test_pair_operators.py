@@ -231,6 +231,22 @@ def test_mixture_meets_token_shares(spark, tmp_path):
     assert np.bincount(kept, minlength=3) / len(kept) == pytest.approx([0.93, 0.04, 0.03], abs=0.012)
 
 
+def test_rows_are_numbered_by_their_files(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "many"))
+    for frame in (spark.read.parquet(str(tmp_path / "many")), docs.persist()):
+        rows = [tuple(r) for r in corpus_pipeline.numbered(frame).orderBy(corpus_pipeline.ROW).collect()]
+        assert len({r[-1] for r in rows}) == len(rows) == docs.count()
+        assert rows == [tuple(r) for r in corpus_pipeline.numbered(frame).orderBy(corpus_pipeline.ROW).collect()]
+        assert sorted(str(r[:-1]) for r in rows) == sorted(str(tuple(r)) for r in docs.collect())
+
+
+def test_short_texts_of_a_language_stay(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    short = spark.createDataFrame([(900, "the new thing", "en", "s", 13, 3), (901, "und schön", "de", "s", 9, 3)], docs.schema)
+    assert {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs.union(short), corpus).collect()} >= {900, 901}
+
+
 def test_stages_take_empty_tables(spark, corpus):
     none = spark.read.parquet(f"{corpus}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
