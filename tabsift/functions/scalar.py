@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space, currency symbols, boolean words, month names.
 WS = "\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+WS_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CURRENCY = "$₩€£¥¢₹₽元"
 TRUE_TEXT, FALSE_TEXT = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -20,13 +21,19 @@ LONG_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "
 LINE = "[^\\n\\r\\u2028\\u2029]"
 
 
+#: White space that cleaning would change inside a cell, and control characters.
+ODD = f"[{WS}]{{2,}}|[\\u00A0\\u3000]|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
+PAREN, PLAIN = f"^\\({LINE}*\\)\\z", "^([0-9]+(\\.[0-9]+)?|\\.[0-9]+)\\z"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value evaluated once: nested functions stay linear in size."""
+    """body(value) with the value evaluated once: nested functions stay linear in size. Such an expression has no
+    generated code, so frames that parse many cells use the steps of staged.py instead."""
     return F.transform(F.array(value), body)[0]
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -45,8 +52,8 @@ def has_unusual_space(c: Column) -> Column:
     return c.rlike("[\\u00A0\\u3000]")
 
 
-def needs_whitespace_trim(c: Column) -> Column:
-    return let(c, lambda x: (x != js_trim(x)) | x.rlike(f"[{WS}]{{2,}}") | has_unusual_space(x) | has_control_chars(x))
+def needs_whitespace_trim(c: Column, trimmed: Column | None = None) -> Column:
+    return (c != (js_trim(c) if trimmed is None else trimmed)) | c.rlike(ODD)
 
 
 def has_currency_symbol(c: Column) -> Column:
@@ -60,38 +67,47 @@ def has_grouping_separator(c: Column) -> Column:
 # numbers: each step is a function of the columns before it, so that a frame can keep them apart
 
 
+def parenthesized(t: Column) -> Column:
+    return t.startswith("(") & t.rlike(PAREN)
+
+
 def _unparenthesized(t: Column) -> Column:
-    return F.when(t.rlike(f"^\\({LINE}*\\)\\z"), js_trim(F.regexp_replace(t, "^\\(|\\)\\z", ""))).otherwise(t)
+    return F.when(parenthesized(t), js_trim(t.substr(F.lit(2), F.length(t) - 2))).otherwise(t)
 
 
 def _unsigned(s: Column) -> Column:
-    return F.regexp_replace(F.when(s.rlike("^[-+]"), js_trim(F.regexp_replace(s, "^[-+]", ""))).otherwise(s), f"[{WS}%{CURRENCY}]", "")
+    return F.translate(F.when(s.startswith("-") | s.startswith("+"), js_trim(s.substr(F.lit(2), F.length(s)))).otherwise(s), WS_CHARS + "%" + CURRENCY, "")
 
 
 def _point(s: Column) -> Column:
-    comma, dot = F.contains(s, F.lit(",")), F.contains(s, F.lit("."))
-    none = F.regexp_replace(s, ",", "")
-    decimal_comma = F.regexp_replace(F.regexp_replace(s, "\\.", ""), "^([^,]*),", "$1.")
+    none = F.replace(s, F.lit(","), F.lit(""))
+    decimal_comma = F.regexp_replace(F.replace(s, F.lit("."), F.lit("")), "^([^,]*),", "$1.")
     both = F.when(s.rlike(",[^.]*\\z"), decimal_comma).otherwise(none)
     single = s.rlike("^[^,]*,[^,]*\\z") & ~s.rlike(",[^,]{3}\\z")
     grouped = s.rlike("^[^,]{1,3}(,[^,]{3})+\\z")
-    return F.when(comma & dot, both).when(comma & ~grouped & single, decimal_comma).when(comma, none).otherwise(s)
+    return F.when(~F.contains(s, F.lit(",")), s).when(F.contains(s, F.lit(".")), both).when(~grouped & single, decimal_comma).otherwise(none)
 
 
-def _signed(trimmed: Column, body: Column, point: Column) -> Column:
-    negative = trimmed.rlike(f"^\\({LINE}*\\)\\z") != body.rlike("^-")
-    full = F.when(point.rlike("^\\."), F.concat(F.lit("0"), point)).otherwise(point)
-    signed = let(full, lambda f: F.when(negative & ~f.rlike("^0(\\.0+)?\\z"), F.concat(F.lit("-"), f)).otherwise(f))
-    return F.when(point.rlike("^([0-9]+(\\.[0-9]+)?|\\.[0-9]+)\\z"), signed)
+def _full(point: Column) -> Column:
+    return F.when(point.startswith("."), F.concat(F.lit("0"), point)).otherwise(point)
+
+
+def _signed(trimmed: Column, body: Column, point: Column, full: Column) -> Column:
+    negative = parenthesized(trimmed) != body.startswith("-")
+    return F.when(point.rlike(PLAIN), F.when(negative & ~full.rlike("^0(\\.0+)?\\z"), F.concat(F.lit("-"), full)).otherwise(full))
 
 
 def numeric_string(c: Column) -> Column:
     """The cell as a plain decimal string without loss of digits; null if it is no number."""
-    return let(js_trim(c), lambda t: let(_unparenthesized(t), lambda b: let(_unsigned(b), lambda u: let(_point(u), lambda p: _signed(t, b, p)))))
+    return let(js_trim(c), lambda t: let(_unparenthesized(t), lambda b: let(_unsigned(b), lambda u: let(_point(u), lambda p: let(_full(p), lambda f: _signed(t, b, p, f))))))
+
+
+def finite(n: Column) -> Column:
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def to_number(numeric: Column) -> Column:
-    return let(numeric.try_cast("double"), lambda n: F.when(F.abs(n) < float("inf"), n))
+    return let(numeric.try_cast("double"), finite)
 
 
 def parse_number(c: Column) -> Column:
@@ -103,15 +119,16 @@ def looks_numeric(c: Column) -> Column:
 
 
 def is_integral(n: Column) -> Column:
-    return let(n, lambda x: F.coalesce(x == F.rint(x), F.lit(False)))
+    return F.coalesce(n == F.rint(n), F.lit(False))
 
 
 def looks_integer(c: Column) -> Column:
-    return is_integral(parse_number(c))
+    return let(parse_number(c), is_integral)
 
 
 def parse_boolean(c: Column) -> Column:
-    return let(F.lower(js_trim(c)), lambda t: F.when(t.isin(*TRUE_TEXT, "1"), True).when(t.isin(*FALSE_TEXT, "0"), False))
+    t = F.lower(js_trim(c))
+    return F.when(t.isin(*TRUE_TEXT, "1"), True).when(t.isin(*FALSE_TEXT, "0"), False)
 
 
 def looks_boolean(c: Column) -> Column:
@@ -137,66 +154,90 @@ def valid_date(y: Column, m: Column, d: Column) -> Column:
     return y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last)
 
 
-def split_time(trimmed: Column) -> tuple[Column, Column]:
-    """The date part and whether a time of day follows it."""
-    front = F.regexp_extract(trimmed, TIME, 1)
-    return F.when(front != "", js_trim(front)).otherwise(trimmed), front != ""
+YEAR_FIRST, YEAR_LAST = "^([0-9]{4})([-/.])([0-9]{1,2})\\2([0-9]{1,2})\\z", "^([0-9]{1,2})([-/.])([0-9]{1,2})\\2([0-9]{4})\\z"
+WORD_FIRST, DAY_FIRST = "^[a-z]+ [0-9]{1,2} [0-9]{4}\\z", "^[0-9]{1,2} [a-z]+ [0-9]{4}\\z"
 
 
-def _month(name: Column) -> Column:
-    short, out = F.substring(name, 1, 3), F.lit(None).cast("int")
-    for i, (s, full) in enumerate(zip(MONTHS, LONG_MONTHS, strict=True)):
-        names = {s, full} | ({"sept"} if s == "sep" else set())
-        out = F.when(name.isin(*sorted(names)), i + 1).otherwise(out)
-    return F.when(short.isin(*MONTHS), out)
+def month_number(name: Column) -> Column:
+    out = F.when(name == "sept", 9)
+    for i, names in enumerate(zip(MONTHS, LONG_MONTHS, strict=True)):
+        out = out.when(name.isin(*dict.fromkeys(names)), i + 1)
+    return out
 
 
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
+def time_front(trimmed: Column) -> Column:
+    """What stands before a time of day; blank without one."""
+    return F.when(F.contains(trimmed, F.lit(":")), F.regexp_extract(trimmed, TIME, 1)).otherwise("")
 
 
-def date_struct(date: Column, has_time: Column) -> Column:
-    """The analysis of a date part: null if it is no date; components only where one reading is possible."""
-    first = "^([0-9]{4})([-/.])([0-9]{1,2})\\2([0-9]{1,2})\\z"
-    last = "^([0-9]{1,2})([-/.])([0-9]{1,2})\\2([0-9]{4})\\z"
-    part = lambda p, i: F.regexp_extract(date, p, i)
-    named = F.lower(js_trim(F.regexp_replace(date, f"[,{WS}]+", " ")))
-    word_first, day_first = "^([a-z]+) ([0-9]{1,2}) ([0-9]{4})\\z", "^([0-9]{1,2}) ([a-z]+) ([0-9]{4})\\z"
-    no = F.lit(False)
+def date_kind(date: Column) -> Column:
+    """1 for the year first, 2 for the year last, 3 for what may hold a month's name; null for what is no date."""
+    return F.when(date.rlike("[0-9]{4}"), F.when(date.rlike(YEAR_FIRST), 1).when(date.rlike(YEAR_LAST), 2).when(date.rlike("[A-Za-z]"), 3))
+
+
+def date_words(date: Column, kind: Column) -> Column:
+    return F.when(kind == 3, F.lower(js_trim(F.regexp_replace(date, f"[,{WS}]+", " "))))
+
+
+def date_layout(kind: Column, words: Column) -> Column:
+    """The kind, where 3 is a month's name and then the day and 4 the other way round."""
+    return F.when(kind < 3, kind).when(words.rlike(WORD_FIRST), 3).when(words.rlike(DAY_FIRST), 4)
 
-    def struct(shape: Column, year_first: Column, separator: Column, day: Column, month: Column, y: Column, m: Column, d: Column) -> Column:
-        return F.struct(shape.alias("shape"), year_first.alias("year_first"), separator.alias("separator"), day.alias("forces_day_first"), month.alias("forces_month_first"), has_time.alias("has_time"), y.alias("year"), m.alias("month"), d.alias("day"))
-
-    none = F.lit(None).cast("int")
-    ymd = lambda p, at: F.struct(*(_int(part(p, i)).alias(k) for k, i in zip("ymd", at, strict=True)))
-    sep = part(first, 2)
-    by_year = let(ymd(first, (1, 3, 4)), lambda v: F.when(valid_date(v["y"], v["m"], v["d"]), struct(F.concat(F.lit("YYYY"), sep, F.lit("MM"), sep, F.lit("DD")), F.lit(True), sep, no, no, v["y"], v["m"], v["d"])))
-
-    def two_ways(v: Column, ok: Column) -> Column:
-        a, b, sep = v["m"], v["d"], part(last, 2)
-        one = ok["day"] != ok["month"]
-        found = struct(F.concat(F.lit("DD"), sep, F.lit("MM"), sep, F.lit("YYYY")), no, sep, a > 12, b > 12, F.when(one, v["y"]).otherwise(none), F.when(one, F.when(ok["day"], b).otherwise(a)).otherwise(none), F.when(one, F.when(ok["day"], a).otherwise(b)).otherwise(none))
-        return F.when(ok["day"] | ok["month"], found)
-
-    # the first number as m, the second as d: valid as they are, or the other way round
-    both = lambda v: F.struct(valid_date(v["y"], v["d"], v["m"]).alias("day"), valid_date(v["y"], v["m"], v["d"]).alias("month"))
-    by_day = let(ymd(last, (4, 1, 3)), lambda v: let(both(v), lambda ok: two_ways(v, ok)))
-
-    def by_name(pattern: str, month_at: int, day_at: int, shape: str) -> Column:
-        at = lambda i: F.regexp_extract(named, pattern, i)
-        v = F.struct(_int(at(3)).alias("y"), let(at(month_at), _month).alias("m"), _int(at(day_at)).alias("d"))
-        return let(v, lambda v: F.when(valid_date(v["y"], v["m"], v["d"]), struct(F.lit(shape), F.lit(None).cast("boolean"), F.lit("name"), no, no, v["y"], v["m"], v["d"])))
-
-    return (
-        F.when(date.rlike(first), by_year)
-        .when(date.rlike(last), by_day)
-        .when(named.rlike(word_first), by_name(word_first, 1, 2, "MMM DD, YYYY"))
-        .when(named.rlike(day_first), by_name(day_first, 2, 1, "DD MMM YYYY"))
+
+def date_separator(date: Column, layout: Column) -> Column:
+    return F.when(layout == 1, F.substring(date, 5, 1)).when(layout == 2, date.substr(F.length(date) - 4, F.lit(1))).when(layout > 2, " ")
+
+
+def date_part(date: Column, words: Column, layout: Column, separator: Column, i: int) -> Column:
+    return F.split_part(F.when(layout < 3, date).otherwise(words), separator, F.lit(i))
+
+
+def date_numbers(layout: Column, p1: Column, p2: Column, p3: Column) -> tuple[Column, Column, Column]:
+    """Year, month and day; with the year last the first number as month, the second as day."""
+    first = F.when(layout == 1, p2).when(layout == 2, p1)
+    month = F.when(layout < 3, first.try_cast("int")).when(layout == 3, month_number(p1)).when(layout == 4, month_number(p2))
+    day = F.when(layout == 1, p3).when(layout == 4, p1).otherwise(p2)
+    return F.when(layout == 1, p1).otherwise(p3).try_cast("int"), month, day.try_cast("int")
+
+
+def date_analysis(layout: Column, separator: Column, has_time: Column, y: Column, m: Column, d: Column, as_month: Column, as_day: Column) -> Column:
+    """The struct of a date, components only where one reading is possible; as_month and as_day tell whether
+    the first number is possible as the month and, with the year last, as the day."""
+    last = layout == 2
+    one = ~last | (as_month != as_day)
+    swap = last & as_day
+    shape = F.when(layout == 1, F.concat(F.lit("YYYY"), separator, F.lit("MM"), separator, F.lit("DD"))).when(last, F.concat(F.lit("DD"), separator, F.lit("MM"), separator, F.lit("YYYY"))).when(layout == 3, "MMM DD, YYYY").otherwise("DD MMM YYYY")
+    found = F.struct(
+        shape.alias("shape"),
+        F.when(layout < 3, layout == 1).alias("year_first"),
+        F.when(layout < 3, separator).otherwise("name").alias("separator"),
+        (last & (m > 12)).alias("forces_day_first"),
+        (last & (d > 12)).alias("forces_month_first"),
+        has_time.alias("has_time"),
+        F.when(one, y).alias("year"),
+        F.when(one, F.when(swap, d).otherwise(m)).alias("month"),
+        F.when(one, F.when(swap, m).otherwise(d)).alias("day"),
     )
+    return F.when(as_month | as_day, found)
+
+
+def possible(layout: Column, y: Column, m: Column, d: Column) -> tuple[Column, Column]:
+    """Whether the first number is possible as the month, and with the year last as the day."""
+    no = F.lit(False)
+    return F.coalesce(layout.isNotNull() & valid_date(y, m, d), no), F.coalesce((layout == 2) & valid_date(y, d, m), no)
 
 
 def analyze_date(c: Column) -> Column:
-    return let(js_trim(c), lambda t: let(F.regexp_extract(t, TIME, 1), lambda f: let(F.when(f != "", js_trim(f)).otherwise(t), lambda d: date_struct(d, f != ""))))
+    def numbers(date: Column, timed: Column, words: Column, layout: Column, sep: Column) -> Column:
+        parts = F.struct(*(date_part(date, words, layout, sep, i).alias(f"p{i}") for i in (1, 2, 3)))
+        ymd = lambda p: F.struct(*(x.alias(n) for x, n in zip(date_numbers(layout, p["p1"], p["p2"], p["p3"]), "ymd", strict=True)))
+        ok = lambda v: F.struct(*(x.alias(n) for x, n in zip(possible(layout, v["y"], v["m"], v["d"]), ("month", "day"), strict=True)))
+        return let(parts, lambda p: let(ymd(p), lambda v: let(ok(v), lambda o: date_analysis(layout, sep, timed, v["y"], v["m"], v["d"], o["month"], o["day"]))))
+
+    def laid_out(date: Column, timed: Column) -> Column:
+        return let(date_kind(date), lambda k: let(date_words(date, k), lambda w: let(date_layout(k, w), lambda n: let(date_separator(date, n), lambda sep: numbers(date, timed, w, n, sep)))))
+
+    return let(js_trim(c), lambda t: let(time_front(t), lambda f: let(F.when(f != "", js_trim(f)).otherwise(t), lambda d: laid_out(d, f != ""))))
 
 
 def looks_date(c: Column) -> Column:

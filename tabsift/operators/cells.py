@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.staged import with_dates, with_numbers
 from ..plans.model import TYPES, Profile, Table
+from ..sources.shared import materialize, spread
 
 
 def fenced(df: DataFrame) -> DataFrame:
@@ -15,22 +17,32 @@ def fenced(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def cells(table: Table) -> DataFrame:
-    """(rid, col, raw, ...): every cell with what it means. Each step is a projection of its own, so that no expression is evaluated twice."""
-    if not table.headers:
-        return table.df.select("rid").where("false").select("rid", F.lit(0).alias("col"), F.lit("").alias("raw")).transform(_parsed)
-    return table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw")).transform(_parsed)
-
-
-def _parsed(df: DataFrame) -> DataFrame:
-    raw, trimmed, body = F.col("raw"), F.col("trimmed"), F.col("body")
-    df = df.withColumn("trimmed", S.js_trim(raw)).withColumn("body", S._unparenthesized(trimmed))
-    df = df.withColumn("point", S._point(S._unsigned(body))).withColumn("num_s", S._signed(trimmed, body, F.col("point"))).withColumn("num", S.to_number(F.col("num_s")))
-    front, timed = S.split_time(trimmed)
-    # A number is no date, except that a dotted date has two dots and so is no number.
-    df = df.withColumn("front", front).withColumn("timed", timed).withColumn("date", F.when(F.col("front").rlike("[0-9]{4}"), S.date_struct(F.col("front"), F.col("timed"))))
-    flags = df.withColumn("blank", trimmed == "").withColumn("type", S.cell_type(F.col("blank"), F.col("num"), S.looks_boolean_text(raw), F.col("date").isNotNull()))
-    return flags.withColumn("ws", ~F.col("blank") & S.needs_whitespace_trim(raw)).select("rid", "col", "raw", "trimmed", "blank", "num_s", "num", "date", "type", "ws").transform(fenced)
+#: What a cell can be asked for beside its text: whether its white space needs cleaning, its number, its date, its type.
+NEEDS = ("ws", "num", "date", "type")
+
+
+def cells(table: Table, *need: str, columns: list[int] | None = None) -> DataFrame:
+    """(rid, col, raw, trimmed, blank, ...): the cells of all or some columns with what is needed of them (all, if
+    nothing is named); the rest is not parsed."""
+    need = need or NEEDS
+    use = list(range(len(table.headers))) if columns is None else columns
+    raw = F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"c{i}").alias("raw")) for i in use)) if use else F.array(F.struct(F.lit(0).alias("col"), F.lit("").alias("raw")))
+    df = (spread(table.df) if use else table.df.where("false")).select("rid", F.inline(raw))
+    typed = "type" in need
+    df = df.withColumn("x_trimmed", S.js_trim(F.col("raw"))).withColumn("blank", F.col("x_trimmed") == "")
+    out = ["rid", "col", "raw", F.col("x_trimmed").alias("trimmed"), "blank"]
+    if typed or "num" in need:
+        df = with_numbers(df, ["x"])
+        out += [F.col("x_num_s").alias("num_s"), F.col("x_num").alias("num")]
+    if typed or "date" in need:
+        df = with_dates(df, ["x"])
+        out += [F.col("x_date").alias("date")]
+    if typed:
+        boolean = F.lower("x_trimmed").isin(*S.TRUE_TEXT, *S.FALSE_TEXT)
+        out += [S.cell_type(F.col("blank"), F.col("x_num"), boolean, F.col("x_date").isNotNull()).alias("type")]
+    if "ws" in need:
+        out += [(~F.col("blank") & S.needs_whitespace_trim(F.col("raw"), F.col("x_trimmed"))).alias("ws")]
+    return fenced(df.select(*out))
 
 
 #: Ranges into which a column's numbers are dealt to find exact quantiles.
@@ -90,7 +102,8 @@ def profile_frame(parsed: DataFrame) -> DataFrame:
 
 def profiles(table: Table, parsed: DataFrame | None = None) -> list[Profile]:
     """The profiles of all columns in order; one row for each column reaches the driver."""
-    found = {r.col: r for r in profile_frame(cells(table) if parsed is None else parsed).collect()}
+    parsed = materialize(cells(table, "type"), "cells") if parsed is None else parsed
+    found = {r.col: r for r in profile_frame(parsed).collect()}
     out = []
     for i, name in enumerate(table.headers):
         r = found.get(i)

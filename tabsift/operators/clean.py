@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.staged import with_dates, with_numbers
 from ..plans.model import FIXERS, CleanOptions, Profile, Table
+from ..sources.shared import materialize, spread
 from ..sources.tables import renumber
+from .cells import fenced
 from .cells import profiles as column_profiles
 
 
@@ -25,7 +28,7 @@ class CleanResult:
 
 
 def fix_whitespace(c: Column) -> Column:
-    return S.let(c, lambda x: F.when(~S.is_blank(x) & S.needs_whitespace_trim(x), S.normalize_whitespace(x)).otherwise(x))
+    return F.when(~S.is_blank(c) & S.needs_whitespace_trim(c), S.normalize_whitespace(c)).otherwise(c)
 
 
 def fix_number(c: Column) -> Column:
@@ -41,24 +44,22 @@ def _kinds(profiles: list[Profile], types: tuple[str, ...]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in pairs.items()))[F.col("col")] if pairs else F.lit(False)
 
 
-def _steps(profiles: list[Profile], options: CleanOptions, cell: Column, numeric: Column | bool, date: Column | bool) -> list[tuple[str, Column, Column]]:
-    """(fixer, before, after) expressions on the columns s0, s1, s2 that a frame adds one by one."""
-    s0, s1 = F.col("s0"), F.col("s1")
-    return [
-        ("whitespace", cell, fix_whitespace(cell) if options.whitespace else cell),
-        ("number_format", s0, F.when(numeric, fix_number(s0)).otherwise(s0) if options.number_format else s0),
-        ("date_format", s1, F.when(date, fix_date(s1, options.date_target)).otherwise(s1) if options.date_format else s1),
-    ]
+def _iso(date: Column, options: CleanOptions) -> Column:
+    return F.when(date["day"].isNotNull(), S.format_date(date, options.date_target))
 
 
 def cell_changes(table: Table, profiles: list[Profile], options: CleanOptions) -> DataFrame:
     """(step, row, column, column_name, before, after, fixer) of every change, in log order by (step, place)."""
     if not table.headers:
         table = Table(["-"], table.df.select("rid", F.lit("").alias("c0")))
-    long = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
+    long = spread(table.df).select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
     numeric, date = _kinds(profiles, ("integer", "decimal")), _kinds(profiles, ("date",))
-    for i, (_, _, after) in enumerate(_steps(profiles, options, F.col("raw"), numeric, date)):
-        long = long.withColumn(f"s{i}", after)
+    long = long.withColumn("s0", fix_whitespace(F.col("raw")) if options.whitespace else F.col("raw"))
+    long = long.withColumn("n_trimmed", F.when(numeric & F.lit(options.number_format), S.js_trim(F.col("s0"))))
+    long = with_numbers(long, ["n"]).withColumn("s1", F.coalesce("n_num_s", "s0"))
+    long = long.withColumn("d_trimmed", F.when(date & F.lit(options.date_format), S.js_trim(F.col("s1"))))
+    long = with_dates(long, ["d"]).withColumn("s2", F.coalesce(_iso(F.col("d_date"), options), F.col("s1")))
+    long = fenced(long.select("rid", "col", "raw", "s0", "s1", "s2"))
     change = lambda k, fixer, a, b: F.when(F.col(a) != F.col(b), F.struct(F.lit(k).alias("step"), F.col(a).alias("before"), F.col(b).alias("after"), F.lit(fixer).alias("fixer")))
     found = F.array_compact(F.array(change(0, FIXERS[0], "raw", "s0"), change(1, FIXERS[1], "s0", "s1"), change(2, FIXERS[2], "s1", "s2")))
     long = long.select("rid", "col", F.explode(found).alias("x"))
@@ -73,16 +74,15 @@ def in_log_order(changes: DataFrame) -> DataFrame:
 
 def fixed_cells(table: Table, profiles: list[Profile], options: CleanOptions) -> DataFrame:
     """The table's frame after the first three steps: projections only."""
-    df = table.df
-    for p in profiles:
-        c = f"c{p.index}"
-        if options.whitespace:
-            df = df.withColumn(c, fix_whitespace(F.col(c)))
-        if options.number_format and p.type in ("integer", "decimal"):
-            df = df.withColumn(c, fix_number(F.col(c)))
-        if options.date_format and p.type == "date":
-            df = df.withColumn(c, fix_date(F.col(c), options.date_target))
-    return df
+    df = spread(table.df)
+    if options.whitespace:
+        df = df.withColumns({c: fix_whitespace(F.col(c)) for c in table.columns})
+    numeric = [f"c{p.index}" for p in profiles if p.type in ("integer", "decimal")] if options.number_format else []
+    dates = [f"c{p.index}" for p in profiles if p.type == "date"] if options.date_format else []
+    df = df.withColumns({f"{c}_trimmed": S.js_trim(F.col(c)) for c in [*numeric, *dates]}) if numeric or dates else df
+    df = with_dates(with_numbers(df, numeric) if numeric else df, dates) if dates else with_numbers(df, numeric) if numeric else df
+    fixed = {c: F.coalesce(f"{c}_num_s", c) for c in numeric} | {c: F.coalesce(_iso(F.col(f"{c}_date"), options), F.col(c)) for c in dates}
+    return df.select("rid", *(fixed.get(c, F.col(c)).alias(c) for c in table.columns))
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,9 +96,10 @@ def clean_table(table: Table, options: CleanOptions | None = None) -> CleanResul
     """Fix cells in the order of FIXERS by the profiles of the table as it was, then drop later duplicates."""
     options = options or CleanOptions()
     profiles = column_profiles(table)
-    changes = cell_changes(table, profiles, options)
-    df = fixed_cells(table, profiles, options)
+    changes = materialize(cell_changes(table, profiles, options), "changes")
+    df = materialize(fixed_cells(table, profiles, options), "fixed")
     removed = duplicate_rows(df, table.columns) if options.remove_duplicates else df.select(F.col("rid").alias("row"), F.col("rid").alias("kept_row")).where("false")
+    removed = materialize(removed.select("row", "kept_row"), "removed")
     removals = removed.select("row", "kept_row", F.lit("exact duplicate").alias("reason"), F.lit("duplicate").alias("fixer"))
     kept = df.join(removed.select(F.col("row").alias("rid")), "rid", "left_anti")
     out = renumber(kept).select("rid", *table.columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.model import Duplicates, Issue, Table
+from ..plans.model import MAX_EXAMPLES, MAX_GROUPS, Duplicates, Issue, Table
+from ..sources.shared import materialize, spread
 
 
 def exact_groups(table: Table, options: Duplicates | None = None) -> DataFrame:
@@ -17,7 +18,7 @@ def exact_groups(table: Table, options: Duplicates | None = None) -> DataFrame:
     """
     options = options or Duplicates()
     use = [S.normalize_cell(F.col(c), options.trim_whitespace, options.case_insensitive) for c, h in zip(table.columns, table.headers, strict=True) if h not in options.ignore_columns]
-    keyed = table.df.select("rid", F.sha2(F.concat_ws("\x01", *use) if use else F.lit(""), 256).alias("key"))
+    keyed = spread(table.df).select("rid", F.sha2(F.concat_ws("\x01", *use) if use else F.lit(""), 256).alias("key"))
     groups = keyed.groupBy("key").agg(F.min("rid").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     return keyed.join(groups, "key").select("keep", "rid")
 
@@ -28,14 +29,15 @@ def near_strings(table: Table, options: Duplicates) -> DataFrame:
     return table.df.select("rid", F.concat_ws(" ", *(S.normalize_cell(F.col(c), True, True) for c in chosen)).alias("s") if chosen else F.lit("").alias("s"))
 
 
-def near_pairs(strings: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, similarity) of rows i < j whose bigram multisets have a Dice similarity from the threshold to below 1.
+def near_classes(strings: DataFrame, threshold: float) -> DataFrame:
+    """(id, id2, similarity) of distinct strings, each named by its first row, whose bigram multisets have a Dice
+    similarity from the threshold to below 1.
 
-    Each distinct string is compared once. A multiset becomes a set of numbered bigrams, ordered by
-    frequency; strings that reach the threshold share one of the first of these and differ in length
-    by a bounded factor, so only pairs that meet in such a prefix are verified.
+    A multiset becomes a set of numbered bigrams, ordered by frequency; strings that reach the threshold share one
+    of the first of these and differ in length by a bounded factor, so only pairs that meet in such a prefix are
+    verified.
     """
-    texts = strings.groupBy("s").agg(F.min("rid").alias("id"), F.array_sort(F.collect_list("rid")).alias("rids"))
+    texts = strings.groupBy("s").agg(F.min("rid").alias("id"))
     texts = texts.where(F.length("s") >= 2)
     grams = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
     rows = texts.select("id", F.posexplode(grams).alias("at", "g"))
@@ -52,30 +54,55 @@ def near_pairs(strings: DataFrame, threshold: float) -> DataFrame:
     a, b = sets.select("id", F.col("n").alias("na"), F.col("p").alias("pa")), sets.select(F.col("id").alias("id2"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     sim = 2 * F.size(F.array_intersect("pa", "pb")) / (F.col("na") + F.col("nb"))
     found = met.join(a, "id").join(b, "id2").withColumn("similarity", sim).where((F.col("similarity") >= threshold) & (F.col("similarity") < 1)).select("id", "id2", "similarity")
-    one, two = texts.select("id", F.explode("rids").alias("x")), texts.select(F.col("id").alias("id2"), F.explode("rids").alias("y"))
-    return found.join(one, "id").join(two, "id2").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
+    return found.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"), "similarity")
+
+
+def near_pairs(strings: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, similarity) of all rows i < j of near classes; equal strings multiply, so this is for reports of small tables."""
+    members = strings.join(strings.groupBy("s").agg(F.min("rid").alias("id")), "s").select("id", "rid")
+    one, two = members.withColumnRenamed("rid", "x"), members.select(F.col("id").alias("id2"), F.col("rid").alias("y"))
+    return near_classes(strings, threshold).join(one, "id").join(two, "id2").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
 
 
-def near_duplicates(table: Table, options: Duplicates | None = None) -> DataFrame:
-    """(i, j, similarity) of near-duplicate rows that are not in one exact group."""
+def near_duplicates(table: Table, options: Duplicates | None = None, classes: bool = False) -> DataFrame:
+    """(i, j, similarity) of near-duplicate rows that are not in one exact group; with `classes` only between the
+    first rows of equal strings."""
     options = options or Duplicates()
-    pairs = near_pairs(near_strings(table, options), options.near.threshold)
+    strings = near_strings(table, options)
+    if classes:
+        pairs = near_classes(strings, options.near.threshold).select(F.col("id").alias("i"), F.col("id2").alias("j"), "similarity")
+    else:
+        pairs = near_pairs(strings, options.near.threshold)
     groups = exact_groups(table, options)
     a, b = groups.select(F.col("keep").alias("ki"), F.col("rid").alias("i")), groups.select(F.col("keep").alias("kj"), F.col("rid").alias("j"))
     out = pairs.join(a, "i", "left").join(b, "j", "left").where(~F.coalesce(F.col("ki") == F.col("kj"), F.lit(False)))
     return out.select("i", "j", S.round3(F.col("similarity")).alias("similarity"))
 
 
-def detect_duplicates(table: Table, options: Duplicates, row_count: int) -> list[Issue]:
+def detect_duplicates(table: Table, options: Duplicates, row_count: int, rows: bool = False) -> list[Issue]:
+    """An issue for each exact group and each near pair. Without `rows` a group has its first MAX_EXAMPLES rows and
+    its size, near pairs are those between the first rows of equal strings, and the first MAX_GROUPS of either kind
+    are reported; exact_groups and near_duplicates have them all."""
     if not options.enabled:
         return []
-    groups = exact_groups(table, options).groupBy("keep").agg(F.array_sort(F.collect_list("rid")).alias("rows")).orderBy("keep")
-    out = [Issue("duplicate", "exact_duplicate_row", "warning", f"Found {len(r.rows)} exact duplicate rows", list(r.rows), data={"count": len(r.rows), "keepRow": r.keep, "duplicateRows": list(r.rows[1:])}) for r in groups.toLocalIterator()]
+    found = exact_groups(table, options)
+    if rows:
+        groups = found.groupBy("keep").agg(F.array_sort(F.collect_list("rid")).alias("rows"), F.count("*").alias("n")).orderBy("keep")
+    else:
+        found = materialize(found, "groups")
+        first = found.groupBy("keep").agg(F.count("*").alias("n")).orderBy("keep").limit(MAX_GROUPS)
+        place = F.row_number().over(Window.partitionBy("keep").orderBy("rid"))
+        some = found.join(F.broadcast(first.select("keep")), "keep", "left_semi").withColumn("_i", place).where(F.col("_i") <= MAX_EXAMPLES)
+        groups = some.groupBy("keep").agg(F.array_sort(F.collect_list("rid")).alias("rows")).join(first, "keep").orderBy("keep")
+    out = []
+    for r in groups.toLocalIterator():
+        out.append(Issue("duplicate", "exact_duplicate_row", "warning", f"Found {r.n} exact duplicate rows", list(r.rows) if rows else None, data={"count": r.n, "keepRow": r.keep, "duplicateRows": list(r.rows[1:])}, n=r.n))
     near = options.near
     if not near.enabled:
         return out
     if near.limit is not None and row_count > near.limit:
         return [*out, Issue("duplicate", "near_duplicate_skipped", "info", f"Skipped near-duplicate detection: {row_count} rows exceeds limit of {near.limit}", data={"rowCount": row_count, "limit": near.limit})]
-    for r in near_duplicates(table, options).orderBy("i", "j").toLocalIterator():
+    pairs = near_duplicates(table, options, classes=not rows).orderBy("i", "j")
+    for r in (pairs if rows else pairs.limit(MAX_GROUPS)).toLocalIterator():
         out.append(Issue("duplicate", "near_duplicate_row", "info", f"Rows {r.i} and {r.j} are near-duplicates (similarity {r.similarity:g})", [r.i, r.j], data={"similarity": r.similarity}))
     return out

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.staged import with_numbers
 from ..plans.model import DEFAULT_TOLERANCE, DISCOVER_MAX_COLUMNS, DISCOVER_MIN_RATIO, BalanceCheck, Integrity, Issue, Profile, ReferentialCheck, SumCheck, Table
+from ..sources.shared import materialize, spread
 from .cells import fenced
 from .issues import examples_of, gather, named
 
@@ -20,13 +22,11 @@ CHUNK = 1 << 20
 
 
 def numbers(table: Table, columns: list[int]) -> DataFrame:
-    """(rid, b<i>, n<i>): whether a cell is blank, and its number. Each parsing step is a projection of its own."""
+    """(rid, b<i>, n<i>): whether a cell is blank, and its number."""
     columns = list(dict.fromkeys(columns))
-    df = table.df.select("rid", *(S.js_trim(F.col(f"c{i}")).alias(f"t{i}") for i in columns))
-    df = df.withColumns({f"u{i}": S._unparenthesized(F.col(f"t{i}")) for i in columns})
-    df = df.withColumns({f"p{i}": S._point(S._unsigned(F.col(f"u{i}"))) for i in columns})
-    df = df.withColumns({f"s{i}": S._signed(F.col(f"t{i}"), F.col(f"u{i}"), F.col(f"p{i}")) for i in columns})
-    return fenced(df.select("rid", *(e for i in columns for e in ((F.col(f"t{i}") == "").alias(f"b{i}"), S.to_number(F.col(f"s{i}")).alias(f"n{i}")))))
+    df = spread(table.df).select("rid", *(S.js_trim(F.col(f"c{i}")).alias(f"x{i}_trimmed") for i in columns))
+    df = with_numbers(df, [f"x{i}" for i in columns])
+    return fenced(df.select("rid", *(e for i in columns for e in ((F.col(f"x{i}_trimmed") == "").alias(f"b{i}"), F.col(f"x{i}_num").alias(f"n{i}")))))
 
 
 def _difference(expected: Column, actual: Column) -> Column:
@@ -74,7 +74,7 @@ def referential_rows(table: Table, rule: ReferentialCheck) -> DataFrame:
     rows = table.df.select("rid", value.alias("value"))
     blank, real = rows.where("value = ''"), rows.where("value <> ''")
     if isinstance(rule.references, list):
-        found = real.where(~F.col("value").isin(*[v.strip() for v in rule.references])) if rule.references else real
+        found = real.where(~F.col("value").isin(*[v.strip(S.WS_CHARS) for v in rule.references])) if rule.references else real
     else:
         if isinstance(rule.references, str):
             known = table.df.select(S.js_trim(F.col(f"c{table.index(rule.references)}")).alias("value"))
@@ -141,7 +141,7 @@ def _one(hits: DataFrame, rows: bool, extra: list | None = None):
     return got[0] if got else None
 
 
-def detect_integrity(table: Table, profiles: list[Profile], options: Integrity, rows: bool = True) -> list[Issue]:
+def detect_integrity(table: Table, profiles: list[Profile], options: Integrity, rows: bool = False) -> list[Issue]:
     if not options.enabled:
         return []
     out = []
@@ -152,11 +152,11 @@ def detect_integrity(table: Table, profiles: list[Profile], options: Integrity,
         if missing:
             out.append(_unknown(missing, s.label, rule))
             continue
-        every = sum_rows(table, s)
+        every = materialize(sum_rows(table, s), "sums")
         if r := _one(every.where("bad"), rows):
             failed = bool(every.agg(F.bool_or("failed")).first()[0])
             head = f"{s.label}: " if s.label else ""
-            out.append(Issue("integrity", "sum_mismatch", "error", f"{head}sum of [{', '.join(s.components)}] does not equal '{s.total}' in {r.n} row(s)", listed(r), data={"label": s.label} | rule | {"tolerance": s.tolerance, "anyParseFailure": failed, "examples": examples_of(r, "expected", "actual", "diff")}))
+            out.append(Issue("integrity", "sum_mismatch", "error", f"{head}sum of [{', '.join(s.components)}] does not equal '{s.total}' in {r.n} row(s)", listed(r), data={"label": s.label} | rule | {"tolerance": s.tolerance, "anyParseFailure": failed, "examples": examples_of(r, "expected", "actual", "diff")}, n=r.n))
     for b in options.balance_checks:
         missing = [c for c in (b.amount, b.balance) if table.index(c) < 0]
         rule = {"amount": b.amount, "balance": b.balance}
@@ -164,14 +164,14 @@ def detect_integrity(table: Table, profiles: list[Profile], options: Integrity,
             out.append(_unknown(missing, b.label, rule))
         elif r := _one(balance_rows(table, b), rows):
             head = f"{b.label}: " if b.label else ""
-            out.append(Issue("integrity", "balance_mismatch", "error", f"{head}running balance '{b.balance}' does not match prior balance + '{b.amount}' in {r.n} row(s)", listed(r), data={"label": b.label} | rule | {"tolerance": b.tolerance, "examples": examples_of(r, "expected", "actual", "diff")}))
+            out.append(Issue("integrity", "balance_mismatch", "error", f"{head}running balance '{b.balance}' does not match prior balance + '{b.amount}' in {r.n} row(s)", listed(r), data={"label": b.label} | rule | {"tolerance": b.tolerance, "examples": examples_of(r, "expected", "actual", "diff")}, n=r.n))
     for c in options.referential_checks:
         missing = [x for x in (c.column, c.references) if isinstance(x, str) and table.index(x) < 0]
         if missing:
             out.append(_unknown(missing, c.label, {"column": c.column}))
         elif r := _one(referential_rows(table, c), rows):
             head = f"{c.label}: " if c.label else ""
-            out.append(Issue("integrity", "referential_violation", "error", f"{head}column '{c.column}' has {r.n} value(s) not present in the reference set", listed(r), table.index(c.column), c.column, {"label": c.label, "column": c.column, "examples": [{"row": e.rid, "value": named(e.example)} for e in r.examples]}))
+            out.append(Issue("integrity", "referential_violation", "error", f"{head}column '{c.column}' has {r.n} value(s) not present in the reference set", listed(r), table.index(c.column), c.column, {"label": c.label, "column": c.column, "examples": [{"row": e.rid, "value": named(e.example)} for e in r.examples]}, n=r.n))
     if options.discover_sum_relationships:
         out += discover(table, profiles)
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.model import MAX_EXAMPLES, Issue
 
 
-def gather(hits: DataFrame, by: list[str], rows: bool = True, extra: list | None = None) -> DataFrame:
+def gather(hits: DataFrame, by: list[str], rows: bool = False, extra: list | None = None) -> DataFrame:
     """For each key: n, examples (the first MAX_EXAMPLES structs by rid), all rows if asked, and extra aggregates."""
     order = Window.partitionBy(*by).orderBy("rid")
     first = hits.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= MAX_EXAMPLES)
@@ -41,8 +41,8 @@ def examples_of(row: Any, *names: str) -> list[dict]:
 
 def issue_rows(spark, issues: list[Issue]) -> DataFrame:
     """Issues as a frame, in order."""
-    data = [(i, x.category, x.type, x.severity, x.message, x.rows, x.column, x.column_name, json.dumps(x.data, ensure_ascii=False)) for i, x in enumerate(issues)]
-    return spark.createDataFrame(data, "seq int, category string, type string, severity string, message string, rows array<long>, column int, column_name string, data string")
+    data = [(i, x.category, x.type, x.severity, x.message, x.count, x.rows, x.column, x.column_name, json.dumps(x.data, ensure_ascii=False)) for i, x in enumerate(issues)]
+    return spark.createDataFrame(data, "seq int, category string, type string, severity string, message string, n long, rows array<long>, column int, column_name string, data string")
 
 
 Detector = Callable[..., list[Issue]]

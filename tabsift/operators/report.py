@@ -10,7 +10,7 @@ from .clean import in_log_order
 
 #: Categories that cleaning leaves to a person.
 MANUAL = ("integrity", "outlier")
-#: Korean messages by issue type; {n} rows, {col} column name, the rest from data.
+#: Fixed values, as are the texts of render_report: Korean messages by issue type; {n} rows, {col} column name, the rest from data.
 KOREAN = {
     "exact_duplicate_row": "완전히 동일한 행 {n}개(중복)",
     "near_duplicate_row": "유사 중복 행 (유사도 {similarity})",
@@ -47,7 +47,7 @@ def localize(issue: Issue, locale: str = "en") -> str:
     d = issue.data
     formats, expected = d.get("formats") or [], d.get("expectedType")
     return KOREAN[issue.type].format(
-        n=len(issue.rows or []),
+        n=issue.count,
         col=issue.column_name or "",
         similarity=d.get("similarity", "?"),
         n_formats=len(formats) or "여러",
@@ -95,9 +95,10 @@ def by_severity(issues: list[Issue]) -> list[Issue]:
     return sorted(issues, key=lambda i: {"error": 0, "warning": 1, "info": 2}.get(i.severity, 9))
 
 
-def shown_rows(rows: list[int] | None, locale: str = "en") -> str:
+def shown_rows(rows: list[int] | None, locale: str = "en", count: int = 0) -> str:
+    """How many rows, and the first of them; only the number where they are not listed."""
     if not rows:
-        return "-"
+        return "-" if not count else f"{count}개" if locale == "ko" else str(count)
     sample = ", ".join(map(str, rows[:5])) + ("…" if len(rows) > 5 else "")
     return f"{len(rows)}개 (행 {sample})" if locale == "ko" else f"{len(rows)} (rows {sample})"
 
@@ -129,5 +130,5 @@ def render_html(report: Report, locale: str = "en") -> str:
     e = _escaped
     s = report.summary
     cards = "".join(f"<li>{e(k)}: {v}</li>" for k, v in [("total", s["total_issues"]), *s["by_severity"].items(), *s["by_category"].items()])
-    rows = "".join(f"<tr><td>{e(i.severity)}</td><td>{e(i.category)}</td><td><code>{e(i.type)}</code></td><td>{e(i.column_name or '-')}</td><td>{e(shown_rows(i.rows, locale))}</td><td>{e(localize(i, locale))}</td></tr>" for i in by_severity(report.issues))
+    rows = "".join(f"<tr><td>{e(i.severity)}</td><td>{e(i.category)}</td><td><code>{e(i.type)}</code></td><td>{e(i.column_name or '-')}</td><td>{e(shown_rows(i.rows, locale, i.count))}</td><td>{e(localize(i, locale))}</td></tr>" for i in by_severity(report.issues))
     return f"<section><p>{report.row_count} × {len(report.headers)}</p><ul>{cards}</ul></section><table>{rows}</table>"

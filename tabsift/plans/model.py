@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 #: Fixed values of the rules.
 MAX_EXAMPLES, NEAR_ROW_LIMIT, STRONG_CONFIDENCE = 50, 2000, 0.7
 DEFAULT_TOLERANCE, DISCOVER_MAX_COLUMNS, DISCOVER_MIN_RATIO = 0.01, 12, 0.95
+#: Issues of duplicate groups, and of near pairs, that a report without row lists holds; the frames behind them have all.
+MAX_GROUPS = 1000
 CATEGORIES, SEVERITIES = ("duplicate", "format", "outlier", "integrity"), ("error", "warning", "info")
 TYPES = ("integer", "decimal", "date", "boolean", "string")
 FIXERS = ("whitespace", "number_format", "date_format", "duplicate")
@@ -148,6 +150,12 @@ class Issue:
     column: int | None = None
     column_name: str | None = None
     data: dict[str, Any] = field(default_factory=dict)
+    #: How many rows take part, where these are not listed.
+    n: int | None = None
+
+    @property
+    def count(self) -> int:
+        return len(self.rows) if self.rows is not None else self.n or 0
 
 
 @dataclass

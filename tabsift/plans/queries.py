@@ -6,7 +6,6 @@ unchanged in Spark and in DuckDB.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,6 +21,7 @@ from ..operators import integrity as I
 from ..operators.issues import issue_rows
 from ..sources import tables as T
 from ..sources import xlsx
+from ..sources.shared import materialize, scratch_path, spread
 from ..streaming.tables import running_counts
 from .engine import analyze_table, summarize
 from .model import TYPES, BalanceCheck, CleanOptions, Duplicates, Integrity, Near, Options, Outliers, Range, ReferentialCheck, SumCheck, Table
@@ -122,31 +122,28 @@ def query(sql: str | None = None):
 def whitespace_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
     raw = F.col("raw")
-    rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
+    rows = spread(table.df).select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
     return rows.select("rid", "col", S.is_blank(raw).alias("blank"), S.normalize_whitespace(raw).alias("normalized"), S.has_control_chars(raw).alias("control"), S.has_unusual_space(raw).alias("unusual"), (~S.is_blank(raw) & S.needs_whitespace_trim(raw)).alias("to_trim"))
 
 
 @query(f"WITH {PARSED} SELECT rid, col, coalesce(num_s, '-') AS num_s, coalesce(num, 0) AS num, num IS NOT NULL AS numeric_cell, num IS NOT NULL AND coalesce(num = floor(num), false) AS integer_cell FROM parsed")
 def numeric_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
-    raw = F.col("raw")
-    return rows.select("rid", "col", F.coalesce(S.numeric_string(raw), F.lit("-")).alias("num_s"), F.coalesce(S.parse_number(raw), F.lit(0.0)).alias("num"), S.looks_numeric(raw).alias("numeric_cell"), S.looks_integer(raw).alias("integer_cell"))
+    num = F.col("num")
+    return C.cells(table, "num").select("rid", "col", F.coalesce("num_s", F.lit("-")).alias("num_s"), F.coalesce(num, F.lit(0.0)).alias("num"), num.isNotNull().alias("numeric_cell"), S.is_integral(num).alias("integer_cell"))
 
 
 @query(f"WITH {PARSED} SELECT rid, col, CASE WHEN lower(trimmed) IN ('true', 'yes', 'y', '1', 't') THEN 'true' WHEN lower(trimmed) IN ('false', 'no', 'n', '0', 'f') THEN 'false' ELSE '-' END AS flag, type FROM parsed")
 def type_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
-    return rows.select("rid", "col", F.coalesce(S.parse_boolean(F.col("raw")).cast("string"), F.lit("-")).alias("flag"), S.infer_cell_type(F.col("raw")).alias("type"))
+    return C.cells(table, "type").select("rid", "col", F.coalesce(S.parse_boolean(F.col("raw")).cast("string"), F.lit("-")).alias("flag"), "type")
 
 
 @query(f"WITH {PARSED} SELECT rid, col, coalesce(shape, '-') AS shape, timed, day_first, month_first, coalesce(y, 0) AS y, coalesce(m, 0) AS m, coalesce(d, 0) AS d, CASE WHEN d IS NOT NULL AND NOT timed THEN CAST(y AS STRING) || '-' || lpad(CAST(m AS STRING), 2, '0') || '-' || lpad(CAST(d AS STRING), 2, '0') ELSE '-' END AS iso FROM parsed")
 def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    rows = table.df.select("rid", F.posexplode(F.array(*table.columns)).alias("col", "raw"))
-    a = F.col("a")
-    rows = rows.select("rid", "col", S.analyze_date(F.col("raw")).alias("a"), S.reformat_date(F.col("raw")).alias("iso"))
+    a = F.col("date")
+    rows = C.cells(table, "date").withColumn("iso", F.when(a["day"].isNotNull(), S.format_date(a)))
     flag = lambda name, to: F.coalesce(a[name], F.lit(False)).alias(to)
     part = lambda name, to: F.coalesce(a[name], F.lit(0)).alias(to)
     text = [F.coalesce(c, F.lit("-")).alias(n) for c, n in ((a["shape"], "shape"), (F.col("iso"), "iso"))]
@@ -167,7 +164,7 @@ _NUMERIC = "ptype IN ('integer', 'decimal')"
     + ", CASE WHEN ptype = 'date' THEN shapes ELSE '-' END AS date_formats FROM prof LEFT JOIN so ON prof.col = so.col"
 )
 def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.profile_frame(C.cells(dirty(spark, sf_dir)).persist())
+    p = C.profile_frame(materialize(C.cells(dirty(spark, sf_dir), "type"), "cells"))
     numeric = F.col("type").isin("integer", "decimal")
     stat = lambda c, name: F.when(numeric, F.round(c, 3)).alias(name)
     return p.select("col", "total", F.col("distinct").alias("distinct_count"), *(f"n_{t}" for t in (*TYPES, "empty")), "type", F.round("confidence", 9).alias("confidence"), F.when(numeric, F.col("count")).otherwise(0).alias("n"), stat(F.col("min"), "min"), stat(F.col("max"), "max"), stat(F.col("mean"), "mean"), stat(F.col("sum"), "sum"), stat(F.col("stdev"), "stdev"), stat(F.col("q")[0], "q1"), stat(F.col("q")[1], "median"), stat(F.col("q")[2], "q3"), F.when(F.col("type") == "date", F.array_join("shapes", "|")).otherwise("-").alias("date_formats"))
@@ -207,25 +204,25 @@ def near_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARSED} SELECT rid, col, raw AS value FROM parsed WHERE ws")
 def whitespace_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.whitespace_hits(C.cells(dirty(spark, sf_dir))).select("rid", "col", F.col("example").alias("value"))
+    return K.whitespace_hits(C.cells(dirty(spark, sf_dir), "ws")).select("rid", "col", F.col("example").alias("value"))
 
 
 @query(f"WITH {PARSED}, h AS (SELECT * FROM parsed WHERE shape IS NOT NULL AND NOT blank), s AS (SELECT col, shape, count(*) AS n, min(rid) AS r FROM h GROUP BY col, shape) SELECT col, CAST(sum(n) AS BIGINT) AS dates, count(*) AS formats, string_agg(shape || '=' || n, ';' ORDER BY r) AS counts FROM s GROUP BY col HAVING count(*) > 1")
 def inconsistent_date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = K.date_summary(C.cells(dirty(spark, sf_dir))).where(F.size("shapes") > 1)
+    s = K.date_summary(C.cells(dirty(spark, sf_dir), "date")).where(F.size("shapes") > 1)
     return s.select("col", "dates", F.size("shapes").cast("long").alias("formats"), F.array_join(F.transform("shapes", lambda x: F.concat(x["shape"], F.lit("="), x["n"].cast("string"))), ";").alias("counts"))
 
 
-@query(f"WITH {PARSED}, h AS (SELECT col, min(rid) FILTER (day_first) AS day_row, min(rid) FILTER (month_first) AS month_row FROM parsed WHERE NOT blank GROUP BY col) SELECT h.col, day_row, d.raw AS day_value, month_row, m.raw AS month_value FROM h JOIN parsed d ON d.rid = day_row AND d.col = h.col JOIN parsed m ON m.rid = month_row AND m.col = h.col")
+@query(f"WITH {PARSED}, h AS (SELECT col, min(rid) FILTER (day_first) AS day_row, min(rid) FILTER (month_first) AS month_row, arg_min(raw, rid) FILTER (day_first) AS day_value, arg_min(raw, rid) FILTER (month_first) AS month_value FROM parsed WHERE NOT blank GROUP BY col) SELECT * FROM h WHERE day_row IS NOT NULL AND month_row IS NOT NULL")
 def ambiguous_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = K.date_summary(C.cells(dirty(spark, sf_dir))).where("day is not null and month is not null")
+    s = K.date_summary(C.cells(dirty(spark, sf_dir), "date")).where("day is not null and month is not null")
     return s.select("col", F.col("day.rid").alias("day_row"), F.col("day.raw").alias("day_value"), F.col("month.rid").alias("month_row"), F.col("month.raw").alias("month_value"))
 
 
 @query(f"WITH {PROFILED}, n AS (SELECT p.col, count(*) AS cells, count(*) FILTER (regexp_matches(raw, '[{_CUR}]')) AS with_currency, count(*) FILTER (contains(raw, ',')) AS with_grouping FROM parsed p JOIN prof ON prof.col = p.col WHERE {_NUMERIC} AND NOT blank GROUP BY p.col) SELECT * FROM n WHERE (with_currency > 0 AND with_currency < cells) OR (with_grouping > 0 AND with_grouping < cells)")
 def inconsistent_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    parsed = C.cells(table).persist()
+    parsed = materialize(C.cells(table, "type"), "cells")
     use = [p.index for p in C.profiles(table, parsed) if p.type in K.NUMERIC]
     n = K.number_hits(parsed, use).groupBy("col").agg(F.count("*").alias("cells"), F.count_if("currency").alias("with_currency"), F.count_if("grouping").alias("with_grouping"))
     return n.where("(with_currency > 0 and with_currency < cells) or (with_grouping > 0 and with_grouping < cells)")
@@ -236,16 +233,14 @@ def inconsistent_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARSED}, b AS (SELECT col, count(*) AS total, count(*) FILTER (blank) AS blanks, min(rid) FILTER (blank) AS first_row FROM parsed GROUP BY col) SELECT col, blanks, first_row, CASE WHEN blanks = total THEN 'empty_column' ELSE 'missing_value' END AS type FROM b WHERE blanks > 0")
 def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = C.cells(dirty(spark, sf_dir))
-    b = K.blank_hits(parsed).groupBy("col").agg(F.count("*").alias("blanks"), F.min("rid").alias("first_row"))
-    total = parsed.groupBy("col").agg(F.count("*").alias("total"))
-    return b.join(total, "col").select("col", "blanks", "first_row", F.when(F.col("blanks") == F.col("total"), "empty_column").otherwise("missing_value").alias("type"))
+    b = K.blank_summary(C.cells(dirty(spark, sf_dir), "blank"))
+    return b.select("col", "blanks", "first_row", F.when(F.col("blanks") == F.col("total"), "empty_column").otherwise("missing_value").alias("type"))
 
 
 @query(f"WITH {PROFILED} SELECT rid, p.col, raw AS value, type AS found FROM parsed p JOIN prof ON prof.col = p.col WHERE confidence >= 0.7 AND ptype IN ('integer', 'decimal', 'date', 'boolean') AND NOT blank AND type <> ptype AND NOT (type IN ('integer', 'decimal') AND ptype IN ('integer', 'decimal'))")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    parsed = C.cells(table).persist()
+    parsed = materialize(C.cells(table, "type"), "cells")
     return K.mismatch_hits(parsed, C.profiles(table, parsed)).select("rid", "col", F.col("example.value").alias("value"), F.col("example.found").alias("found"))
 
 
@@ -256,14 +251,14 @@ _Z = "(sd > 0 AND abs((num - mean) / sd) > 1.8)"
 @query(f"WITH {PROFILED} SELECT rid, p.col, num AS value, {_IQR} AS iqr, {_Z} AS z FROM parsed p JOIN prof ON prof.col = p.col WHERE {_NUMERIC} AND n_num >= 4 AND num IS NOT NULL AND ({_IQR} OR {_Z})")
 def statistical_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    parsed = C.cells(table).persist()
+    parsed = materialize(C.cells(table, "type"), "cells")
     return K.outlier_hits(parsed, C.profiles(table, parsed), Outliers(z_score_threshold=1.8, iqr_multiplier=0.6)).select("rid", "col", F.col("example").alias("value"), "iqr", "z")
 
 
 @query(f"WITH {PARSED} SELECT rid, num AS value FROM parsed WHERE col = {PLACE['amount']} AND (num < 0 OR num > 50000)")
 def range_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dirty(spark, sf_dir)
-    return K.range_hits(C.cells(table), table, Range("amount", 0, 50000)).select("rid", F.col("example").alias("value"))
+    return K.range_hits(C.cells(table, "num", columns=[PLACE["amount"]]), table, Range("amount", 0, 50000)).select("rid", F.col("example").alias("value"))
 
 
 # integrity
@@ -339,26 +334,11 @@ def clean_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources, streams, reports
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabsift-")
-
-
 @query(f"SELECT rid, {', '.join(f'c{i}' for i in range(len(COLUMNS)))} FROM ({DIRTY})")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/csv-{uuid.uuid4().hex}"
-    T.write_csv(dirty(spark, sf_dir), path)
-    # each file has the header, and files are in row order: number them by the kept id column order of their names
-    names = [f"c{i}" for i in range(len(COLUMNS))]
-    read = spark.read.schema(", ".join(f"{n} string" for n in names)).options(header=True, quote='"', escape='"', multiLine=True, emptyValue="", enforceSchema=True).csv(path).fillna("")
-    name, place = F.col("_metadata.file_name"), F.monotonically_increasing_id()
-    rows = read.select(name.alias("f"), place.alias("m"), *names)
-    files = {r.f: (r.n, r.m) for r in rows.groupBy("f").agg(F.count("*").alias("n"), F.min("m").alias("m")).collect()}  # a row for each file
-    before, at = [], 0
-    for f in sorted(files):
-        before.append((f, at - files[f][1]))
-        at += files[f][0]
-    shift = spark.createDataFrame(before or [("", 0)], "f string, shift long")
-    return rows.join(F.broadcast(shift), "f").select((F.col("m") + F.col("shift")).alias("rid"), *names)
+    path = scratch_path(spark, "csv")
+    T.write_csv(dirty(spark, sf_dir), path, files=5)
+    return T.read_csv(spark, path).df
 
 
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rid, CAST(n_nationkey AS STRING) AS c0, n_name AS c1, CAST(n_regionkey AS STRING) AS c2 FROM nation")
@@ -372,7 +352,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"counts_{uuid.uuid4().hex}"
     fields = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
     stream = spark.readStream.schema(fields).parquet(f"{sf_dir}/customer.parq*").select("c_custkey", "c_name", "c_mktsegment")
-    folder = f"{_folder(spark)}/stream-{name}"
+    folder = scratch_path(spark, "stream")
     q = running_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("col", "name", "total", "n_integer", "n_string", "to_trim")

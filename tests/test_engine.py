@@ -24,12 +24,12 @@ def table(spark, headers, *rows):
 
 
 def found(spark, headers, rows, options=None):
-    return {(i.type, i.column_name): i for i in analyze_table(table(spark, headers, *rows), options).issues}
+    return {(i.type, i.column_name): i for i in analyze_table(table(spark, headers, *rows), options, rows=True).issues}
 
 
 @pytest.fixture(scope="module")
 def golden(spark):
-    return clean_and_report(parse_csv(spark, ORDERS), engine=RULES)
+    return clean_and_report(parse_csv(spark, ORDERS), engine=RULES, rows=True)
 
 
 def test_golden_issues(golden):
@@ -119,12 +119,30 @@ def test_duplicates(spark):
     near = Options(duplicates=Duplicates(near=Near(threshold=0.8)))
     i = found(spark, ["name"], [("Jonathan Smith",), ("Jonathon Smith",)], near)[("near_duplicate_row", None)]
     assert i.rows == [0, 1] and i.data == {"similarity": 0.846} and i.message.endswith("(similarity 0.846)")
-    both = analyze_table(table(spark, ["n"], ("Catherine",), ("Catherine",), ("Katherine",)), Options(duplicates=Duplicates(near=Near(threshold=0.6)))).issues
+    both = analyze_table(table(spark, ["n"], ("Catherine",), ("Catherine",), ("Katherine",)), Options(duplicates=Duplicates(near=Near(threshold=0.6))), rows=True).issues
     assert [x.rows for x in both if x.type == "near_duplicate_row"] == [[0, 2], [1, 2]]
     ignored = Options(duplicates=Duplicates(ignore_columns=["id"]))
     assert found(spark, ["id", "n"], [("1", "a"), ("2", "a")], ignored)[("exact_duplicate_row", None)].rows == [0, 1]
 
 
+def test_reports_without_row_lists(spark):
+    t = table(spark, ["n", "w"], *[("Catherine", " x")] * 70, *[("Katherine", "y")] * 3, ("Bob", "z"), ("Bob", "z"))
+    options = Options(duplicates=Duplicates(near=Near(threshold=0.6, key_columns=["n"])))
+    found = {i.type: i for i in reversed(analyze_table(t, options).issues)}
+    assert found["exact_duplicate_row"].rows is None and found["exact_duplicate_row"].count == 70
+    assert found["exact_duplicate_row"].data == {"count": 70, "keepRow": 0, "duplicateRows": list(range(1, 50))}
+    assert [i.rows for i in analyze_table(t, options).issues if i.type == "near_duplicate_row"] == [[0, 70]]
+    assert localize(found["whitespace_format"], "ko") == '컬럼 "w"에 공백/제어문자 정리가 필요한 셀 70개'
+    assert "<td>70</td>" in render_html(analyze_table(t, options))
+    listed = [i.rows for i in analyze_table(t, options, rows=True).issues if i.type == "near_duplicate_row"]
+    assert len(listed) == 210
+
+
+def test_reference_lists_are_trimmed_like_cells(spark):
+    rule = Options(integrity=Integrity(referential_checks=[ReferentialCheck("s", ["a", "\ufeffb", "\x1cc"])]))
+    assert found(spark, ["s"], [("a",), ("b",), ("c",)], rule)[("referential_violation", "s")].rows == [2]
+
+
 def test_near_guard(spark):
     rows = [(f"{i * 7919 % 10007:05d}{i}",) for i in range(2001)]
     assert ("near_duplicate_skipped", None) in found(spark, ["n"], rows)
@@ -212,4 +230,4 @@ def test_empty_tables(spark):
 def test_partitions_do_not_matter(spark):
     t = parse_csv(spark, ORDERS)
     mixed = Table(t.headers, t.df.repartition(7))
-    assert analyze_table(mixed, RULES).issues == analyze_table(t, RULES).issues
+    assert analyze_table(mixed, RULES, rows=True).issues == analyze_table(t, RULES, rows=True).issues
