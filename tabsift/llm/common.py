@@ -3,7 +3,6 @@ folder that driver and executors share, and flat numpy views of Arrow text."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import functools
@@ -11,7 +10,6 @@ import gc
 import glob
 import os
 import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import drop, materialize, scratch_path  # noqa: F401
 
 #: Rows in an Arrow batch: documents may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 500
@@ -48,42 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder by Hadoop's file system; a folder that is gone is no error."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/tabsift-{what}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme that Spark resolves it by, so that workers open the same file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write a Parquet table into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    remove(df.sparkSession, df.scratch)
-
-
 def least_hash_rows(rows: DataFrame, by: str, sample: int, key: str = "doc_id") -> DataFrame:
     """Of each value of `by` the `sample` rows whose key has the least hash.
 
@@ -107,6 +75,14 @@ def input_parts(df: DataFrame, least: int = 32, most: int = 20_000, each: int =
     return max(least, min(most, each * df.rdd.getNumPartitions()))
 
 
+def salted(x: DataFrame, y: DataFrame, rows: int, each: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join of few small rows whose keys may hold most of them, with a salt in the key: about `each`
+    rows of x have one salt, and y is there once for each, so no task holds all pairs of a key."""
+    salts = -(-max(rows, 1) // each)
+    left = x.withColumn("salt", F.pmod(F.xxhash64(*x.columns), F.lit(salts)).cast("int"))
+    return left, y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def pieces(batch: pa.RecordBatch | pa.Array, column: str | None = None, most: int = 1 << 21) -> Iterator[pa.Array]:
     """Slices of a batch that hold about `most` bytes of text; a longer text is alone in its slice."""
     text = batch if column is None else batch.column(column)

@@ -6,16 +6,21 @@ of blocks every one-dimensional projection is sorted, a window around each query
 collisions, and pairs with at least a given number of collisions over all projections are verified
 by their cosine in double precision. The window is one standard deviation of the projected
 difference at the threshold; the count is the largest that pairs exactly at the threshold still
-reach with probability RECALL (binomial), and closer pairs reach it more often.
+reach with probability RECALL (binomial), and closer pairs reach it more often. Blocks farther apart
+than APART deviations in the first projection do not meet, which loses a pair at the threshold with
+a probability of 0.00006 more.
 
 A block pair returns link counts and a spanning forest of its links, never the links themselves, so
 a group of copies costs rows in proportion to its size. Vectors that are null, zero, empty or hold
 null or non-finite components, rows without label or vec_id, and vectors of other length link with
-nothing. Rows repeated in full count as further vectors of their class.
+nothing. Rows repeated in full count as further vectors of their class. Labels of any type are equal
+if their texts are (1.2 and 1.7 are not). An empty table gives an empty one. Only vec_id, embedding
+and label are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, bounded_batches, gather_runs, input_parts, materialize
+from .common import batch_rows, bounded_batches, gather_runs, input_parts, materialize, one_thread, salted
 from .components import components, forest
 
 PROJECTIONS, BLOCK, RECALL, SEED = 48, 1024, 0.999, 20240612
 #: Standard deviations of the first projection's difference beyond which blocks do not meet.
-APART = 3.5
+APART = 4.0
+#: Blocks that one key of the join of blocks has on its smaller side.
+SALTED = 64
 
 
 def spread(cosine: float) -> float:
@@ -48,6 +55,7 @@ def least_count(m: int = PROJECTIONS, recall: float = RECALL) -> int:
     return 0
 
 
+@functools.cache
 def projections(dim: int, m: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, m))
 
@@ -80,7 +88,7 @@ def linked(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> tuple[np.
     return i[keep], j[keep]
 
 
-BLOCKS = "label int, dim int, block long, low double, high double, ids binary, counts binary, vectors binary"
+BLOCKS = "label string, dim int, block long, low double, high double, ids binary, counts binary, vectors binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +99,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, dim = held[0][:2]
         return pa.RecordBatch.from_pydict(
             {"label": [label], "dim": [dim], "block": [min(r[3] for r in held)], "low": [held[0][2]], "high": [held[-1][2]], "ids": [np.array([r[3] for r in held], np.int64).tobytes()], "counts": [np.array([r[4] for r in held], np.int64).tobytes()], "vectors": [b"".join(r[5] for r in held)]},
-            pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("block", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())]),
+            pa.schema([("label", pa.string()), ("dim", pa.int32()), ("block", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())]),
         )
 
     for batch in batches:
@@ -117,13 +125,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = x / scale
             x = x / np.sqrt(x @ x) + 0.0
             out.append((i, label, len(x), float(x @ projections(len(x))[:, 0]), x.tobytes()))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary()), strict=True)] if out else None
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.binary()), strict=True)] if out else None
         if columns:
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "dim", "first", "vector"])
 
 
 def _links(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for r in batch.to_pylist():
                 same = r["block"] == r["block2"]
@@ -149,8 +158,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("int").alias("label"))
-    rows = materialize(rows.mapInArrow(_vectors, "vec_id long, label int, dim int, first double, vector binary").withColumn("key", F.md5("vector")), "vectors")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
+    rows = materialize(rows.mapInArrow(_vectors, "vec_id long, label string, dim int, first double, vector binary").withColumn("key", F.md5("vector")), "vectors")
     real = rows.where("vector is not null")
     classes = real.groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("first").alias("first"), F.first("vector").alias("vector"))
     classes = materialize(classes, "classes")
@@ -160,7 +169,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     head = blocks.select("label", "dim", "block", "low", "high")
     other = head.select("label", "dim", *(F.col(c).alias(f"{c}2") for c in ("block", "low", "high")))
     reach = APART * spread(cosine)
-    meet = head.join(other, ["label", "dim"]).where((F.col("block") <= F.col("block2")) & (F.col("low") <= F.col("high2") + reach) & (F.col("low2") <= F.col("high") + reach)).select("block", "block2")
+    head, other = salted(head, other, blocks.count(), SALTED)
+    meet = head.join(other, ["label", "dim", "salt"]).where((F.col("block") <= F.col("block2")) & (F.col("low") <= F.col("high2") + reach) & (F.col("low2") <= F.col("high") + reach)).select("block", "block2")
     x = blocks.select("block", "dim", "ids", "counts", "vectors")
     y = blocks.select(F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in ("ids", "counts", "vectors")))
     pairs = meet.join(x, "block").join(y, "block2").repartition(input_parts(vectors), "block", "block2")

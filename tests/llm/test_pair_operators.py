@@ -90,6 +90,7 @@ def jaccard_components(texts, percent, width=4):
 @pytest.mark.parametrize(("seed", "bases", "copies", "size", "percent"), [(1, 25, 6, (5, 120), 85), (2, 3, 60, (60, 90), 85), (3, 10, 12, (1, 12), 60)])
 def test_join_equals_brute_force(spark, seed, bases, copies, size, percent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CROSSING", 20)  # so that some families are compared in blocks
+    monkeypatch.setattr(jaccard_join, "SALTED", 2)
     texts = [*near_texts(seed, bases, copies, size), "", None, "  \n", "one two", "ONE  two", "one two three"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(3)
     got = {r.doc_id: r for r in jaccard_join.join(docs, percent=percent).collect()}
@@ -151,6 +152,23 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(data.where("false")).count() == 0
 
 
+def test_recall_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "SALTED", 3)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(600, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * side
+    rows = [(i, v.tolist(), [1.2, 1.7][i % 2]) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), [1.2, 1.7][(i + (i > 500)) % 2]) for i, v in enumerate(y)]
+    got = {v.vec_id: v.n_links for v in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()}
+    links = np.bincount(np.array(brute_links(rows)).ravel(), minlength=len(rows))
+    assert links.sum() >= 1000 and 0.99 * links.sum() <= sum(got.values()) <= links.sum()
+    assert all(got[i] <= n for (i, *_), n in zip(rows, links))
+
+
 def test_collisions_are_counted():
     r = np.random.default_rng(5)
     q, v = r.normal(size=(20, 7)), r.normal(size=(30, 7))
