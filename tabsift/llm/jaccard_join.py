@@ -23,6 +23,9 @@ Two documents link if the Jaccard similarity of their sets of word shingles reac
 
 Nulls, empty texts and texts without words have no shingles and link with nothing; a row without
 doc_id links with nothing and has no component. Rows repeated in full are members of one class.
+Shingles of equal frequency are ordered by hash, groups and hubs by id, so ties are the same in every
+run. A very long text is a slice of its own; an empty table gives an empty one. Only the key and the
+text of a table are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, bounded_batches, input_parts, materialize, pieces, squeeze, trim, unsqueeze
+from .common import batch_rows, bounded_batches, input_parts, materialize, one_thread, pieces, salted, squeeze, trim, unsqueeze
 from .components import components, forest
 from .shingles import shingles, signatures
 
@@ -48,6 +51,8 @@ AT_ONCE = 250_000
 #: Pairs across components at one prefix shingle, over which its groups are compared in blocks; classes
 #: and shingles of a block, and the columns of its matrix that are compared at once.
 CROSSING, BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 256, 400_000, 4096
+#: Blocks of a family that one key of the join of blocks has on its smaller side.
+SALTED = 64
 #: Rows of packs in an Arrow batch.
 PACKS = 64
 #: flush: task and number of a pack; part: hash range; kind: 0 shared inside the pack, 1 single, 2 the pack's own table
@@ -343,6 +348,7 @@ def overlaps(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarra
 
 def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for r in batch.to_pylist():
                 sides = [{k: np.frombuffer(r[k + end], np.int64) for k in ("ids", "cs", "ns", "sizes", "sets")} for end in ("", "2")]
@@ -376,7 +382,8 @@ def _dense_links(lists: DataFrame, of_member: DataFrame, sets: DataFrame, percen
     other = head.select("family", *(F.col(k).alias(f"{k}2") for k in ("block", "c_low", "c_high", "n_low", "n_high")))
     apart = ~((F.col("c_low") == F.col("c_high")) & (F.col("c_low2") == F.col("c_high2")) & (F.col("c_low") == F.col("c_low2")))
     sizes = (F.col("n_low") * percent <= F.col("n_high2") * 100) & (F.col("n_low2") * percent <= F.col("n_high") * 100)
-    meet = head.join(other, "family").where((F.col("block") <= F.col("block2")) & apart & sizes).select("block", "block2")
+    head, other = salted(head, other, blocks.count(), SALTED)
+    meet = head.join(other, ["family", "salt"]).where((F.col("block") <= F.col("block2")) & apart & sizes).select("block", "block2")
     data = ("ids", "cs", "ns", "sizes", "sets")
     x = blocks.select("block", *data)
     y = blocks.select(F.col("block").alias("block2"), *(F.col(k).alias(f"{k}2") for k in data))
