@@ -1,7 +1,7 @@
 """LM scoring by masked pseudo-likelihood.
 
 A bidirectional window network predicts every token from the SIDE tokens on both of its sides:
-offset embeddings are added and squashed, then a class and a word within the class are predicted
+offset embeddings are added and squashed (x / (1 + |x|)), then a class and a word within the class are predicted
 (a two-level softmax). A document's score is the sum of the log-probabilities of its tokens.
 
 Words are counted over the whole corpus. The most frequent ones are the network's vocabulary, the
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,9 @@ CLASSES, EACH, HASHED, SIDE, WIDTH = 32, 64, 48, 2, 16
 SIZE = CLASSES * EACH
 VOCABULARY = SIZE - HASHED
 #: Rounds of training, which together train every window once; rows of a step; learning rate.
-ROUNDS, BATCH, RATE = 2, 2048, 0.08
+ROUNDS, BATCH, RATE = 2, 8192, 0.16
+#: Scores of a softmax are cut here, far above what training reaches, so that none overflows.
+TOP = np.float32(60)
 TEXT = 1 << 19
 #: Words and documents that a scan task packs together at most (but for a single longer slice).
 FLUSH, FLUSH_ROWS = 1_000_000, 60_000
@@ -115,62 +118,81 @@ def contexts(token: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Places of a token's row in a flat table of embeddings.
+PLACES = np.arange((SIZE + 1) * WIDTH).reshape(SIZE + 1, WIDTH)
+
+
 def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
-    z = net.embed[0][around[0]]
+    """The hidden layer and a last row of ones, for the biases. Here and below a column is a window, so that sums run along long rows."""
+    z = np.take(net.embed[0], around[0], axis=0)
     for k in range(1, len(around)):
-        z = z + net.embed[k][around[k]]
-    return np.tanh(z)
+        z += np.take(net.embed[k], around[k], axis=0)
+    z /= 1 + np.abs(z)
+    out = np.ones((WIDTH + 1, len(z)), np.float32)
+    out[:-1] = z.T
+    return out
+
+
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place the exponentials of scores, and the sum of each column."""
+    if z.max(initial=0) > TOP:
+        np.minimum(z, TOP, out=z)
+    np.exp(z, out=z)
+    return z, z.sum(0)
 
 
 def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-probability of one entry of each row of scores."""
-    top = z.max(1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    """The log-probability of one entry of each column of scores."""
+    own = z[at, np.arange(len(at))]
+    return own - np.log(_exponentials(z)[1])
+
+
+def _by_class(token: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """An order by class, and where each class starts in it."""
+    group = (token // EACH).astype(np.uint8)
+    return np.argsort(group, kind="stable"), np.append(0, np.cumsum(np.bincount(group, minlength=CLASSES))).tolist()
 
 
 def log_probabilities(net: Network, token: np.ndarray, around: np.ndarray) -> np.ndarray:
     out = np.zeros(len(token))
-    for a in range(0, len(token), 1 << 15):
-        t = token[a : a + (1 << 15)]
-        h = _hidden(net, around[:, a : a + (1 << 15)])
-        group = t // EACH
-        lp = _chosen(h @ net.classes[:-1] + net.classes[-1], group).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                lp[rows] += _chosen(h[rows] @ net.inner[c, :-1] + net.inner[c, -1], t[rows] % EACH)
-        out[a : a + (1 << 15)] = lp
+    for a in range(0, len(token), 1 << 14):
+        order, edges = _by_class(token[a : a + (1 << 14)])
+        t, near = np.take(token[a : a + (1 << 14)], order), np.take(around[:, a : a + (1 << 14)], order, axis=1)
+        h = _hidden(net, near)
+        lp = _chosen(net.classes.T @ h, t // EACH).astype(np.float64)
+        for c, (i, j) in enumerate(pairwise(edges)):
+            if i < j:
+                lp[i:j] += _chosen(net.inner[c].T @ h[:, i:j], t[i:j] % EACH)
+        out[a + order] = lp
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+def _error(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient of the log-loss in the scores, in place of these."""
+    z, total = _exponentials(z)
+    z /= total
+    z[at, np.arange(len(at))] -= 1
+    return z
 
 
 def train_step(net: Network, token: np.ndarray, around: np.ndarray, rate: float) -> None:
     n = len(token)
-    order = np.argsort(token // EACH, kind="stable")
-    token, around = token[order], around[:, order]
+    order, edges = _by_class(token)
+    token, around = np.take(token, order), np.take(around, order, axis=1)
     h = _hidden(net, around)
-    one = np.concatenate([h, np.ones((n, 1), np.float32)], 1)  # the last input is the bias
-    group, place = token // EACH, token % EACH
-    g = _softmax(one @ net.classes)
-    g[np.arange(n), group] -= 1
-    back = g @ net.classes[:-1].T
-    net.classes -= np.float32(rate / n) * (one.T @ g)
-    edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-    for c, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+    place = token % EACH
+    g = _error(net.classes.T @ h, token // EACH)
+    back = net.classes[:-1] @ g
+    net.classes -= np.float32(rate / n) * (h @ g.T)
+    for c, (i, j) in enumerate(pairwise(edges)):
         if i < j:
-            g = _softmax(one[i:j] @ net.inner[c])
-            g[np.arange(j - i), place[i:j]] -= 1
-            back[i:j] += g @ net.inner[c, :-1].T
-            net.inner[c] -= np.float32(rate * CLASSES / n) * (one[i:j].T @ g)
-    back *= (1 - h * h) * np.float32(rate * 8 / math.sqrt(n))
+            g = _error(net.inner[c].T @ h[:, i:j], place[i:j])
+            back[:, i:j] += net.inner[c, :-1] @ g
+            net.inner[c] -= np.float32(rate * CLASSES / n) * (h[:, i:j] @ g.T)
+    back *= np.square(1 - np.abs(h[:-1])) * np.float32(rate * 8 / math.sqrt(n))
+    step = np.ascontiguousarray(back.T).ravel()
     for k in range(len(around)):
-        np.subtract.at(net.embed[k].reshape(-1), (around[k][:, None] * WIDTH + np.arange(WIDTH)).ravel(), back.ravel())
+        np.subtract.at(net.embed[k].reshape(-1), np.take(PLACES, around[k], axis=0).ravel(), step)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
