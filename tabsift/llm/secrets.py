@@ -2,9 +2,9 @@
 
 Base spans: assignments to secret names, access key identifiers and long hex runs. Beside them the
 text has weak parts: other identifiers, strings of high entropy, and endpoints. A weak part alone
-is no finding; an interval join of the parts inside a scope (a block of text between blank lines,
-and no more than REACH code points apart) reports those whose complement is there: an identifier
-with a secret, a secret with an identifier or an endpoint, an endpoint with both.
+is no finding; an interval join of the parts inside a scope (a block of text between blank lines, of
+any length) reports those whose complement is there: an identifier with a secret, a secret with an
+identifier or an endpoint, an endpoint with both.
 
 Nulls and empty texts have no spans. All work is within a row, linear in the text's length but for
 the sorting of its parts; repeated rows give equal results.
@@ -24,8 +24,8 @@ from .spans import Span, span_rows
 KINDS = ["assign", "access", "hex"]
 WEAK = ["access_id", "secret", "endpoint"]
 ORDER = {k: i for i, k in enumerate(KINDS + WEAK)}
-#: Code points between two parts of one credential, and the least entropy in bits a character of a weak secret.
-REACH, ENTROPY = 400, 3.6
+#: The least entropy in bits a character of a weak secret.
+ENTROPY = 3.6
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -66,12 +66,10 @@ def weak_parts(text: str) -> list[Span]:
 
 
 def _near(a: Span, starts: list[int], ends: list[int], edges: list[int]) -> bool:
-    """Whether an interval of a sorted, disjoint list is within REACH and in the scope of a."""
+    """Whether an interval of a sorted list, whose ends are the farthest so far, is in the scope of a."""
     k = bisect_right(edges, a[1])
-    low = max(a[1] - REACH, edges[k - 1] if k else 0)
-    high = min(a[2] + REACH, edges[k] if k < len(edges) else a[2] + REACH)
-    i = bisect_right(ends, low)
-    return i < len(starts) and starts[i] < high
+    i = bisect_right(ends, edges[k - 1] if k else 0)
+    return i < len(starts) and (k == len(edges) or starts[i] < edges[k])
 
 
 def link(base: list[Span], weak: list[Span], edges: list[int]) -> list[Span]:
